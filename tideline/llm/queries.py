@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle
-from .common import documents
+from .common import documents, learns
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,34 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), keep="max")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, documents(spark, sf_dir, "labels"))
+    scored = toxicity.toxicity_scores(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (~learns("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades from the two labels: 0 is poor, 1 good but toxic, 2 good and not toxic; kept from a chance of one half."""
+    from . import quality
+
+    docs = documents(spark, sf_dir)
+    grade = F.col("quality") * (2 - F.col("toxic"))
+    model = quality.fit(docs, documents(spark, sf_dir, "labels"), grade, ["quality", "toxic"])
+    graded = quality.grade_documents(docs.select("doc_id", "text"), model, at_least=1)
+    return graded.select("doc_id", (~learns("doc_id")).alias("held_out"), "expected_grade", "tail_prob", "kept")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = documents(spark, sf_dir)
+    named = langid.predict_languages(docs.select("doc_id", "text"), langid.fit(docs))
+    return named.select("doc_id", (~learns("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_components
 
