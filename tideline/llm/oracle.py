@@ -2,6 +2,9 @@
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+#: Lower-cased words: letters, digits and all beyond ASCII.
+WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+')"
+
 SQL = {
     "op1_exact_dedup": f"""
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS norm FROM documents),
@@ -9,4 +12,18 @@ SQL = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
         FROM d JOIN g USING (norm)
     """,
+    "op4_decontamination": f"""
+        WITH w AS (
+            SELECT 'd' AS side, doc_id AS id, {WORDS} AS words FROM documents
+            UNION ALL SELECT 'i', item_id, {WORDS} FROM benchmark
+        ),
+        s AS (
+            SELECT DISTINCT side, id, array_to_string(words[i : i + 4], ' ') AS shingle
+            FROM (SELECT side, id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)
+        ),
+        n AS (SELECT id, count(*) AS n_item FROM s WHERE side = 'i' GROUP BY id)
+        SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*) / any_value(n_item) AS containment
+        FROM s AS d JOIN s AS i ON d.side = 'd' AND i.side = 'i' AND d.shingle = i.shingle JOIN n ON n.id = i.id
+        GROUP BY d.id, i.id HAVING count(*) >= ceil(0.8 * any_value(n_item) - 1e-9)
+    """,
 }

@@ -26,6 +26,20 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~learns("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ppm import score_corpus
+
+    docs = documents(spark, sf_dir)
+    scored = score_corpus(docs, docs.where(learns("doc_id", 7)))
+    return scored.select("doc_id", (~learns("doc_id", 7)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades from the two labels: 0 is poor, 1 good but toxic, 2 good and not toxic; kept from a chance of one half."""
     from . import quality
