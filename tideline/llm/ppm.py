@@ -5,8 +5,8 @@ combined in each task before they are shuffled and are stored as a table in the
 
 The byte-context trie holds the strings of every length up to ORDER + 1 that make up at least ``SHARE`` of the training
 bytes, so it has at most (ORDER + 1) / SHARE entries however large the corpus is: a proven bound for what is collected and
-broadcast. Escapes are estimated as distinct / (total + distinct); after an escape the symbols that the longer context knows
-are excluded. The trie is pretrained and fixed, so all that an exclusion needs depends on the longer context alone and is
+broadcast. An escape weighs as much as the context's distinct symbols and the occurrences that SHARE has left out; after an
+escape the symbols that the longer context knows are excluded. The trie is pretrained and fixed, so all that an exclusion needs depends on the longer context alone and is
 computed when the trie is built; a text's code length is then a sum of table look-ups.
 
 The baseline needs the count of every word, and there is no bound on words. Frequent words (at least 1 / ``FREQUENT`` of the
@@ -27,7 +27,7 @@ from . import textops as T
 from .common import require, written
 from .features import Spaced, spaced, word_spans
 
-ORDER = 4
+ORDER = 5
 SHARE = 5e-7
 FREQUENT = 1_000_000
 #: The word key of the end of a text.
@@ -82,9 +82,9 @@ class Level:
     entries: Table  # context and symbol
     log_count: np.ndarray
     nodes: Table  # context
-    log_top: np.ndarray  # of total + distinct, when coding starts here
+    log_top: np.ndarray  # of all weights, when coding starts here
     escape_top: np.ndarray
-    log_below: np.ndarray  # of the shorter context's total + distinct without the symbols known here
+    log_below: np.ndarray  # of the shorter context's weights without the symbols known here
     escape_below: np.ndarray
 
 
@@ -100,17 +100,20 @@ class Trie:
             ctx, first = np.unique(keys >> np.uint64(8), return_index=True)
             total = np.add.reduceat(n, first) if len(n) else n
             distinct = np.diff(np.append(first, len(keys))).astype(np.float64)
+            unseen = distinct.copy()  # the weight of an escape
             below, escape_below = np.zeros(len(ctx)), np.zeros(len(ctx))
             if last is not None and len(ctx):
+                at = np.minimum(np.searchsorted(last[0], ctx), len(last[0]) - 1)
+                unseen += np.maximum(0, np.where(last[0][at] == ctx, last[1][at], 0) - total)  # what SHARE has left out
                 bits = np.uint64((1 << 8 * len(self.levels)) - 1)
                 shared = last[1][np.searchsorted(last[0], keys & bits)]  # the shorter context's counts of the same symbols
                 up = np.searchsorted(last[2], ctx & (bits >> np.uint64(8)))
-                left, kinds = last[3][up] - np.add.reduceat(shared, first), last[4][up] - distinct
-                some = kinds > 0
-                below[some] = np.log10(left[some] + kinds[some])
-                escape_below[some] = np.log10(kinds[some] / (left[some] + kinds[some]))
-            self.levels.append(Level(Table(keys), np.log10(n), Table(ctx), np.log10(total + distinct), np.log10(distinct / (total + distinct)), below, escape_below))
-            last = (keys, n, ctx, total, distinct)
+                left, escape = last[3][up] - np.add.reduceat(shared, first), last[4][up] - distinct
+                some = escape > 0
+                below[some] = np.log10(left[some] + escape[some])
+                escape_below[some] = np.log10(escape[some] / (left[some] + escape[some]))
+            self.levels.append(Level(Table(keys), np.log10(n), Table(ctx), np.log10(total + unseen), np.log10(unseen / (total + unseen)), below, escape_below))
+            last = (keys, n, ctx, total, unseen)
         known = len(counts[0][0]) if counts else 0
         self.unknown = -np.log10(max(1, 256 - known))
 

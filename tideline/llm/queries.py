@@ -40,6 +40,31 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~learns("doc_id", 7)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+#: Shares of the tokens that op6 and the pipeline mix to: a language each for good texts, and one for all that is poor.
+TARGETS = {"en": 0.45, "fr": 0.20, "de": 0.20, "es": 0.12, "poor": 0.03}
+
+
+def domain_model(spark: SparkSession, sf_dir: str):
+    """Domains of the labelled rows of the whole corpus: the language of good ones, else ``poor``."""
+    from .mixing import fit_domains
+
+    docs = documents(spark, sf_dir)
+    domain = F.when(F.col("quality") == 1, F.col("lang")).otherwise(F.lit("poor"))
+    return fit_domains(docs, documents(spark, sf_dir, "labels"), domain, ["quality"], per_label=4000)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import written
+    from .mixing import fit_rates, memberships, with_copies
+
+    model = domain_model(spark, sf_dir)
+    members = memberships(documents(spark, sf_dir).select("doc_id", "text"), model).drop("text")
+    members = written(members, "mix-members")
+    made = with_copies(members, fit_rates(members, model.names, TARGETS))
+    named = {x: F.get("posterior", F.lit(k)).alias(f"p_{x}") for k, x in enumerate(model.names)}
+    return made.select("doc_id", "n_tokens", *(named.get(x, F.lit(0.0).alias(f"p_{x}")) for x in TARGETS), "rate", "copies")
+
+
 def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades from the two labels: 0 is poor, 1 good but toxic, 2 good and not toxic; kept from a chance of one half."""
     from . import quality
