@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 from tideline.llm import simhash
-from tideline.llm.simhash import fingerprint, simhash_components
+from tideline.llm.simhash import Spec, fingerprint, one_of_each, simhash_components
 
 
 def brute_fingerprint(text, n=4):
@@ -73,7 +73,7 @@ def test_documents(spark, sf):
     order = sorted(range(len(rows)), key=lambda i: rows[i]["doc_id"])
     comp = brute_components([fps[i] for i in order], 4)
     want = {rows[i]["doc_id"]: (fps[i], rows[order[c]]["doc_id"]) for i, c in zip(order, comp, strict=True)}
-    got = {r["doc_id"]: (r["fp"] & (1 << 64) - 1, r["component_id"]) for r in simhash_components(docs).collect()}
+    got = {r["doc_id"]: (r["fp0"] & (1 << 64) - 1, r["component_id"]) for r in simhash_components(docs).collect()}
     assert got == want
     assert max(Counter(c for _, c in want.values()).values()) > 1
 
@@ -83,3 +83,25 @@ def test_edges(spark):
     got = sorted((r["doc_id"], r["component_id"]) for r in simhash_components(docs).collect())
     assert got == [(1, 1), (2, 1), (3, 3), (3, 3)]
     assert simhash_components(docs.limit(0)).count() == 0
+    assert sorted(r["doc_id"] for r in one_of_each(docs).collect()) == [1, 3]
+
+
+def test_distinct_shingles():
+    words = b"a b a b c".split()
+    shingles = {b"a b", b"b a", b"b c"}
+    hashes = [xxhash.xxh64_intdigest(s, 43) for s in shingles]
+    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > 3)
+    assert fingerprint(b" ".join(words), Spec(2, False, 43)) == want
+
+
+def test_stage_catches_near_copies(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for k in range(40):
+        text = [word() for _ in range(300)]
+        copy = list(text)
+        copy[rng.randrange(300)] = word()
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(copy))]
+    kept = {r["doc_id"] for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {2 * k for k in range(40)} <= kept and len(kept) <= 44

@@ -65,25 +65,36 @@ def word_spans(text: Spaced, table: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(text.starts, starts, side="right") - 1
 
 
+#: A label's rows are dealt to so many parts before the first ones are taken, so that no task sees all of a label.
+PARTS = 16
+
+
+def first_of_each(rows: DataFrame, label_cols: list[str], per_label: int, id_col: str) -> DataFrame:
+    """At most ``per_label`` rows of each combination of labels: of each of PARTS parts by a hash of the id, the first by another.
+
+    Row numbers up to a small bound are cut down in every task before the shuffle (WindowGroupLimit)."""
+    part = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(1)), F.lit(PARTS))
+    order = Window.partitionBy(*label_cols, "__part").orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col)
+    numbered = rows.withColumn("__part", part).withColumn("__at", F.row_number().over(order))
+    return numbered.where(F.col("__at") <= max(1, per_label // PARTS)).drop("__at", "__part")
+
+
 def labelled_sample(
     docs: DataFrame, label: Column, where: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 20_000,
 ) -> list[tuple[bytes, object]]:
-    """At most ``per_class`` (text, label) rows of each label, the first by a hash of the id among those that ``where``
-    admits and whose text has at most ``max_bytes``; the bound holds at any size of the table."""
+    """At most ``per_class`` (text, label) rows of each label, chosen by hashes of the id among those that ``where`` admits and
+    whose text has at most ``max_bytes``; the bound holds at any size of the table."""
     rows = docs.where(where & label.isNotNull() & (F.coalesce(F.octet_length(text_col), F.lit(0)) <= max_bytes))
-    keyed = rows.select(label.alias("y"), F.xxhash64(F.col(id_col).cast("string")).alias("k"), F.col(text_col).cast("binary").alias("t"))
-    # row_number <= n is cut down in every task before the shuffle (WindowGroupLimit)
-    first = keyed.withColumn("at", F.row_number().over(Window.partitionBy("y").orderBy("k", "t"))).where(F.col("at") <= per_class)
-    return sorted(((bytes(r["t"] or b""), r["y"]) for r in first.select("t", "y").toLocalIterator()), key=lambda x: (str(x[1]), x[0]))
+    ids = first_of_each(rows.select(F.col(id_col).alias("__id"), label.alias("__y")), ["__y"], per_class, "__id")
+    # at most per_class ids of each label
+    found = rows.join(F.broadcast(ids.select("__id").distinct()), rows[id_col] == F.col("__id")).select(F.col(text_col).cast("binary"), label)
+    return sorted(((bytes(t or b""), y) for t, y in found.toLocalIterator()), key=lambda x: (str(x[1]), x[0]))
 
 
 def with_labels(docs: DataFrame, labels: DataFrame, where: Column, per_class: int, label_cols: list[str], id_col: str = "doc_id") -> DataFrame:
     """``docs`` rows joined to a bounded choice of label rows: at most ``per_class`` of each combination of labels."""
     keyed = labels.where(where).select(id_col, *label_cols).dropna(subset=label_cols)
-    order = Window.partitionBy(*label_cols).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col)
-    chosen = keyed.withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= per_class).drop("__at")
-    # at most per_class rows for each combination of labels
-    return docs.drop(*label_cols).join(F.broadcast(chosen), id_col)
+    return docs.drop(*label_cols).join(F.broadcast(first_of_each(keyed, label_cols, per_class, id_col)), id_col)
 
 
 def as_arrow(texts: list[bytes]) -> pa.Array:

@@ -91,10 +91,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .simhash import simhash_components
+    from .simhash import Spec, simhash_components
 
-    found = simhash_components(documents(spark, sf_dir), n=4, radius=4)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = simhash_components(documents(spark, sf_dir), (Spec(4, True, 42),), radius=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

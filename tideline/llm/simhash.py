@@ -13,6 +13,7 @@ group gives as many edges as members, not as many as pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -48,43 +49,73 @@ def word_runs(text: bytes, overlap: int) -> Iterator[list[bytes]]:
         yield kept + [tail]
 
 
-def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
-    """XXH64 (seed 42) of the space-joined n-word shingles, repeats included."""
+@dataclass(frozen=True)
+class Spec:
+    """What a fingerprint is taken over: ``n``-word shingles, repeats counted or not, and the hashes' seed."""
+
+    n: int = 4
+    repeats: bool = True
+    seed: int = 42
+
+
+#: For near-duplicate stages: five-word shingles that agree to 0.8 mean two-word ones that agree to about 0.9, and so few
+#: enough differing bits for RADIUS; two independent fingerprints, either of which may link.
+STAGE = (Spec(2, False, 42), Spec(2, False, 43))
+
+
+def shingle_hashes(words: list[bytes], n: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of the space-joined n-word shingles, repeats included."""
     joined = b" ".join(words)
     starts = np.zeros(len(words), np.int64)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     np.cumsum(lengths[:-1] + 1, out=starts[1:])
     ends = starts + lengths
     digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[n - 1 :].tolist(), strict=False)), np.uint64, len(words) - n + 1)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[n - 1 :].tolist(), strict=False)), np.uint64, len(words) - n + 1)
+
+
+def ones_of(hashes: np.ndarray) -> np.ndarray:
+    """How often each bit is set, the lowest first."""
+    out = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        out += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return out
 
 
-def fingerprint(text: bytes | None, n: int = 4) -> int:
+def fingerprint(text: bytes | None, spec: Spec = Spec()) -> int:
     """SimHash over word shingles: a bit is 1 if set in over half the hashes. No words: 0; fewer than n: one shingle."""
-    ones, total, words = np.zeros(64, np.int64), 0, []
-    for words in word_runs((text or b"").lower(), n - 1):
-        if len(words) >= n:
-            hashes = shingle_hashes(words, n)
-            total += len(hashes)
-            for at in range(0, len(hashes), 1 << 15):
-                ones += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    low = (text or b"").lower()
+    ones, total, distinct = np.zeros(64, np.int64), 0, []
+    for words in word_runs(low, spec.n - 1):
+        if len(words) >= spec.n:
+            hashes = shingle_hashes(words, spec.n, spec.seed)
+            if spec.repeats:
+                total += len(hashes)
+                ones += ones_of(hashes)
+            else:
+                distinct.append(np.unique(hashes))
+    if distinct:
+        hashes = np.unique(np.concatenate(distinct))
+        ones, total = ones_of(hashes), len(hashes)
     if total == 0:
-        words = (text or b"").lower().split()
-        return xxhash.xxh64_intdigest(b" ".join(words), 42) if words else 0
+        words = low.split()
+        return xxhash.xxh64_intdigest(b" ".join(words), spec.seed) if words else 0
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4) -> DataFrame:
-    """(id, fp): the 64-bit fingerprint as a signed long, for every row."""
+def fingerprints(docs: DataFrame, specs: tuple[Spec, ...] = (Spec(),), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp0, fp1, ...): the 64-bit fingerprints as signed longs, for every row."""
     require(docs, id_col, text_col)
+    names = [f"fp{k}" for k in range(len(specs))]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t.as_py(), n) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
+            found = np.array([[fingerprint(t.as_py(), s) for s in specs] for t in batch.column(1)], np.uint64).reshape(-1, len(specs))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, k].copy().view(np.int64)) for k in range(len(specs)))], names=["id", *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(scan, f"id {kind}, fp long")
+    schema = f"id {kind}, " + ", ".join(f"{x} long" for x in names)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(scan, schema)
 
 
 def table_rows(nodes: DataFrame) -> DataFrame:
@@ -182,14 +213,35 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.mapInArrow(scan, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, radius: int = RADIUS) -> DataFrame:
-    """(id, fp, component_id) for every row: the smallest id reachable over links of at most ``radius`` bits.
+def simhash_components(
+    docs: DataFrame, specs: tuple[Spec, ...] = (Spec(),), id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS,
+) -> DataFrame:
+    """(id, fp0, ..., component_id) for every row: the smallest id reachable over links of at most ``radius`` bits in any of
+    the fingerprints.
 
     Null and empty texts have fingerprint 0 and link like any other; rows with equal texts or ids keep a row each; an
     empty table gives an empty result. Ids must be integers and not null.
     """
-    marked = written(fingerprints(docs, id_col, text_col, n), "fingerprints")
-    nodes = written(marked.groupBy("fp").agg(F.min("id").cast("long").alias("rep")), "fingerprint-nodes")
-    found = connected_components(links(nodes, radius))
-    named = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    fps = [f"fp{k}" for k in range(len(specs))]
+    marked = written(fingerprints(docs, specs, id_col, text_col), "fingerprints")
+    nodes = written(marked.groupBy(*fps).agg(F.min("id").cast("long").alias("rep")), "fingerprint-nodes")
+    edges = None
+    for fp in fps:
+        single = nodes.groupBy(F.col(fp).alias("fp")).agg(F.min("rep").alias("rep"))
+        found = links(single, radius)
+        if len(fps) > 1:  # nodes that share this fingerprint
+            same = nodes.join(single.withColumnRenamed("rep", "b"), nodes[fp] == single["fp"]).where("rep <> b")
+            found = found.union(same.select(F.col("rep").alias("a"), "b"))
+        edges = found if edges is None else edges.union(found)
+    named = connected_components(edges)
+    named = nodes.join(named, nodes["rep"] == named["node"], "left").select(*fps, F.coalesce("component", "rep").alias("component_id"))
+    return marked.join(named, fps).select(F.col("id").alias(id_col), *fps, "component_id")
+
+
+def one_of_each(docs: DataFrame, specs: tuple[Spec, ...] = STAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their component, all columns kept; of rows with one id, one."""
+    found = simhash_components(docs, specs, id_col, text_col)
+    stays = written(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("n")), "stays")
+    kept = docs.join(stays.select(id_col), id_col, "left_semi")
+    repeated = stays.agg(F.max("n")).first()[0] or 0
+    return kept.dropDuplicates([id_col]) if repeated > 1 else kept
