@@ -1 +1 @@
-"""Part of tideline."""
+"""The language's expressions as Spark columns."""

@@ -1 +1 @@
-"""Part of tideline."""
+"""Spark operators of the engine: window aggregates, cohorts, labels, contexts and rewrites."""

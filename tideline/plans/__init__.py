@@ -1 +1 @@
-"""Part of tideline."""
+"""Binding, running and explaining statements."""
