@@ -152,5 +152,8 @@ def mix(docs: DataFrame, model: Domains, targets: dict[str, float], id_col: str
     """
     members = memberships(docs.select(id_col, text_col), model, text_col).select("n_tokens", "posterior")
     rates = fit_rates(written(members, "mix-members"), model.names, targets)
-    made = with_copies(memberships(docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), model), rates, "id")
-    return made.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # The wall, a nondeterministic column, keeps the filter that explode implies above the copies: pushed below, it would take
+    # the whole chain of expressions with it, once for each reference.
+    made = with_copies(memberships(rows, model), rates, "id").select("row", "copies", F.monotonically_increasing_id().alias("__wall"))
+    return made.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
