@@ -239,7 +239,7 @@ def score_block(model: Scorer, data: np.ndarray, offsets: np.ndarray) -> tuple[n
     place = model.words.find(words)
     often = place >= 0
     known = np.bincount(owner[often], minlength=n)
-    base = np.bincount(owner[often], np.log10(model.word_counts[place[often]] + 1.0), minlength=n)
+    base = np.bincount(owner[often], np.log10(model.word_counts[place[often]] + 1.0), minlength=n).astype(float)  # bincount of nothing is whole
     words, owner = words[~often], owner[~often]
     with np.errstate(over="ignore"):
         _, at, times = np.unique(T.mix(words + owner.astype(np.uint64) * np.uint64(T.ODD)), return_index=True, return_counts=True)

@@ -13,7 +13,6 @@ import pyarrow as pa
 
 BLOCK = 1 << 20
 ODD = 0x9E3779B97F4A7C15 | 1
-WRAP = (1 << 64) - 1
 #: A-Z lower-cased, every other byte as it is.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -52,23 +51,6 @@ def blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         at = end
 
 
-def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of True that stay within a text."""
-    if not len(mask):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    before = np.empty(len(mask), bool)
-    before[0] = False
-    before[1:] = mask[:-1]
-    firsts = offsets[:-1][offsets[:-1] < len(mask)]
-    before[firsts] = False
-    after = np.empty(len(mask), bool)
-    after[-1] = False
-    after[:-1] = mask[1:]
-    lasts = offsets[1:][offsets[1:] > 0] - 1
-    after[lasts] = False
-    return np.flatnonzero(mask & ~before), np.flatnonzero(mask & ~after) + 1
-
-
 _powers = {}
 
 
@@ -128,15 +110,3 @@ def byte_ngrams(data: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         out = (out << np.uint64(8)) | data[k : k + m]
     return out
-
-
-def owners(offsets: np.ndarray, positions: np.ndarray) -> np.ndarray:
-    """The text that each position lies in."""
-    return np.searchsorted(offsets, positions, side="right") - 1
-
-
-def sums_by(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Column sums of ``values`` for each of ``n`` owners."""
-    if values.ndim == 1:
-        return np.bincount(owner, values, n)[:n] if len(owner) else np.zeros(n)
-    return np.stack([np.bincount(owner, values[:, k], n)[:n] if len(owner) else np.zeros(n) for k in range(values.shape[1])], 1)
