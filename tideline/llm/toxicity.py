@@ -7,7 +7,7 @@ has in the training texts (a log odds over its standard error), the others start
 texts, carried by one window each: first the one with the most evidence, then the worst by the network itself.
 
 Inputs are linear up to the gates, so the gates' input is computed once for each distinct word of a block and gathered;
-scoring runs in each task over its own rows, with the weights (a few MB, a fixed size) broadcast.
+scoring runs in each task over its own rows, with the weights (about 10 MB, a fixed size) broadcast.
 """
 
 from __future__ import annotations
@@ -25,7 +25,9 @@ from .common import learns, require
 from .features import Spaced, as_arrow, buckets, spaced, with_labels, word_spans
 
 WINDOW, STRIDE = 32, 24
-WORD_BITS = CHAR_BITS = 15
+WORD_BITS, CHAR_BITS = 18, 16
+#: A word or n-gram of fewer training texts than this has a zero embedding, as one that was never seen.
+LEAST_TEXTS = 2
 WIDTH, HIDDEN = 8, 8
 INPUT = 3 * WIDTH
 BATCH = 2048
@@ -95,6 +97,7 @@ class Model:
     out: np.ndarray
     offset: float
     prior: float = 0.1
+    known: dict = field(default_factory=dict)
     slots: dict = field(default_factory=dict)
 
     @classmethod
@@ -204,16 +207,18 @@ class Model:
         chars, of = words.chars[grams], words.char_of[grams]
         tri, lead = per_word[of, WIDTH : 2 * WIDTH] / per[of][:, None], per_word[used, 2 * WIDTH :] / 2
         chars, grad = np.concatenate([chars, words.lead[used].T.ravel()]), np.concatenate([tri, lead, lead])
-        for table, rows, grad in ((self.word, words.word[used], per_word[used, :WIDTH]), (self.char, chars, grad)):
+        for name, table, rows, grad in (("word", self.word, words.word[used], per_word[used, :WIDTH]), ("char", self.char, chars, grad)):
+            seen_before = self.known[name][rows]
+            rows, grad = rows[seen_before], grad[seen_before]
             unique, inverse = np.unique(rows, return_inverse=True)
             total = np.stack([np.bincount(inverse, grad[:, k], len(unique)) for k in range(WIDTH)], 1).astype(np.float32)
-            seen = self.slots.setdefault(id(table), np.full(table.shape, 1e-8, np.float32))
+            seen = self.slots.setdefault(name, np.full(table.shape, 1e-8, np.float32))
             seen[unique] += total * total
             table[unique] -= rate * total / np.sqrt(seen[unique])
 
 
-def evidence(parts: list, kind: str, size: int) -> np.ndarray:
-    """For each bucket, the log odds of a text's label given that it occurs, over its standard error."""
+def evidence(parts: list, kind: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each bucket, the log odds of a text's label given that it occurs, over its standard error; and in how many texts it occurs."""
     with_it, texts = np.zeros((2, size)), np.zeros(2)
     for words, _, _, _, truth in parts:
         texts += np.bincount(truth.astype(int), minlength=2)
@@ -231,7 +236,8 @@ def evidence(parts: list, kind: str, size: int) -> np.ndarray:
         for y in (0, 1):
             with_it[y] += np.bincount(once[truth[once // size] == y] % size, minlength=size)
     a, b = with_it[1] + 0.5, with_it[0] + 0.5
-    return np.clip((np.log(a / (texts[1] + 1)) - np.log(b / (texts[0] + 1))) / np.sqrt(1 / a + 1 / b), -5, 5).astype(np.float32)
+    odds = (np.log(a / (texts[1] + 1)) - np.log(b / (texts[0] + 1))) / np.sqrt(1 / a + 1 / b)
+    return np.clip(odds, -5, 5).astype(np.float32), with_it.sum(0)
 
 
 def train(texts: list[bytes], y: list[int], epochs: int = 7, warm: int = 2, seed: int = 7, rate: float = 0.05) -> Model:
@@ -245,7 +251,10 @@ def train(texts: list[bytes], y: list[int], epochs: int = 7, warm: int = 2, seed
         parts.append((words, *windows(words), labels[at : at + n]))
     if not any(len(p[3]) for p in parts):
         return model
-    model.word[:, 0], model.char[:, 0] = evidence(parts, "word", 1 << WORD_BITS), evidence(parts, "char", 1 << CHAR_BITS)
+    for name, table in (("word", model.word), ("char", model.char)):
+        table[:, 0], seen = evidence(parts, name, len(table))
+        model.known[name] = seen >= LEAST_TEXTS
+        table[~model.known[name]] = 0
     for epoch in range(epochs):
         for p in rng.permutation(len(parts)):
             words, places, real, owner, truth = parts[p]
@@ -263,7 +272,7 @@ def train(texts: list[bytes], y: list[int], epochs: int = 7, warm: int = 2, seed
             for at in range(0, len(pick), 64):
                 w = pick[at : at + 64]
                 model.step(words, places[w], real[w], truth[owner[w]], rate if epoch < epochs - 2 else rate / 3)
-    model.slots = {}
+    model.slots, model.known = {}, {}
     return model
 
 
