@@ -1,11 +1,12 @@
 """Mixing to target weights by soft membership, with DataFrame functions only.
 
 A naive Bayes classifier learns hashed-word weights of each domain from a bounded sample of labelled rows and gives every
-document a posterior over domains. Nonnegative document rates r then minimise |A r - b| in a fixed metric, where A r are the
+document a posterior over domains. Nonnegative document rates r then minimise |A r - b|, where A r are the
 expected domain shares of the tokens, sum of r * tokens * posterior, and b the targets. Projected gradient steps start from
-r = 1. In the metric of the token-weighted Gram matrix of the posteriors the unit step never overshoots, and a document's
-move is the inner product of its posterior with a vector of one number a domain: so a step is one aggregation to K numbers,
-and the rates of all steps so far are an expression over a row's posterior. Nothing is shuffled but partial sums.
+r = 1, each in the metric of the token-weighted Gram matrix of the posteriors of the documents whose rate is not at zero; there
+a document's move is the inner product of its posterior with a vector of one number a domain. So a step is one aggregation to
+K * (K + 3) / 2 numbers, and the rates of all steps so far are an expression over a row's posterior. The closest step counts.
+Nothing is shuffled but partial sums.
 """
 
 from __future__ import annotations
@@ -116,25 +117,27 @@ def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float], b
     wanted = budget * wanted / wanted.sum()
     p = [F.get("posterior", F.lit(j)) for j in range(k)]
     t = F.col("n_tokens").cast("double")
-    first = members.agg(F.sum(t).alias("t"), *(F.sum(t * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k))).first()
-    total = first["t"] or 0.0
+    total = members.agg(F.sum(t)).first()[0] or 0.0
     if total <= 0:
         return Rates([], np.zeros(k), wanted)
-    gram = np.array([[first[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / total
-    metric = np.linalg.pinv(gram, rcond=1e-6, hermitian=True)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
     steps: list[np.ndarray] = []
     best: tuple[float, int, np.ndarray] | None = None
     for _ in range(STEPS):
-        r = rate(steps)
-        row = members.select("posterior", "n_tokens", r.alias("r")).agg(*(F.sum(F.col("r") * t * p[j]).alias(f"s{j}") for j in range(k))).first()
+        moving = F.col("r") > 0
+        sums = [F.sum(F.col("r") * t * p[j]) for j in range(k)] + [F.sum(F.when(moving, t * p[i] * p[j])) for i, j in pairs]
+        row = members.select("posterior", "n_tokens", rate(steps).alias("r")).agg(*(x.alias(f"s{n}") for n, x in enumerate(sums))).first()
         reached = np.array([row[f"s{j}"] or 0.0 for j in range(k)]) / total
+        gram = np.zeros((k, k))
+        for n, (i, j) in enumerate(pairs, k):
+            gram[i, j] = gram[j, i] = (row[f"s{n}"] or 0.0) / total
         gap = reached - wanted
         far = float(np.abs(gap).max())
         if best is None or far < best[0]:
             best = (far, len(steps), reached)
         if far < CLOSE:
             break
-        steps.append(metric @ gap)
+        steps.append(np.linalg.pinv(gram, rcond=1e-6, hermitian=True) @ gap)
     return Rates(steps[: best[1]], best[2], wanted)
 
 
