@@ -9,7 +9,8 @@ built so far, so the collection is first cut into short documents that can be bu
   anchor owns are consecutive; the bytes that they cover are its segment, of fewer than 2 * length bytes.
 * Occurrences meet by anchor. Of those with one segment, byte for byte by a 64-bit hash, all but the first are removed whole;
   tasks do this for their own rows before the shuffle. What is left are anchors with several different segments.
-* These segments are the documents of collections whose transform is built column by column: each round puts one more symbol
+* Half of a window's bytes beside its anchor lie to one side of it. Windows whose half is in no other segment of the anchor are
+  unique and are left out. What remains of the segments are the documents of collections whose transform is built column by column: each round puts one more symbol
   in front of every document's last suffix. A stable sort of the transform's symbols moves the suffixes of all documents to
   their new order, and common prefixes follow from range minima. Rows that share ``length`` bytes are equal windows; all but
   the first in the order of (id, start) are removed.
@@ -34,8 +35,8 @@ from .common import partitions, require, written
 
 LENGTH = 100
 GRAM = 16
-SPLIT = 4000
-COLLECTION = 4000
+SPLIT = 2000
+COLLECTION = 1500
 HELD_ROWS = 1 << 20
 PLACE_BITS = 24
 
@@ -91,41 +92,48 @@ def collection(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """(document, length of suffix, common prefix with the row before, symbol before the suffix) of all suffixes in order.
 
     Round by round one symbol is put in front of each document's newest suffix. The rows of a round are the documents' ends
-    and, in the stable order of the last round's transform, all rows that have a symbol before them.
+    and, in the stable order of the last round's transform, all rows that have a symbol before them. A row is kept as the place
+    of the symbol before its suffix; symbol 0 is a document's edge.
     """
     m = len(segments)
     size = np.fromiter(map(len, segments), np.int64, m)
-    begin = np.cumsum(size) - size
-    text = np.frombuffer(b"".join(segments), np.uint8).astype(np.int16) + 1  # 0: the document has no more symbols
-    ends_doc, ends_len = np.arange(m, dtype=np.int32), np.zeros(m, np.int32)
-
-    def before(doc: np.ndarray, length: np.ndarray) -> np.ndarray:
-        left = size[doc] - length
-        out = np.zeros(len(doc), np.int16)
-        more = left > 0
-        out[more] = text[(begin[doc] + left - 1)[more]]
-        return out
-
-    doc, length, common = ends_doc, ends_len, np.zeros(m, np.int16)
-    symbol = before(doc, length)
-    for _ in range(int(size.max(initial=0))):
-        order = np.argsort(symbol, kind="stable")
-        order = order[np.searchsorted(symbol[order], 1) :]
-        lowest = [common]
-        while 1 << len(lowest) <= len(common):
-            half, row = 1 << (len(lowest) - 1), lowest[-1]
-            lowest.append(np.minimum(row[: len(row) - half], row[half:]))
-        new_common = np.zeros(len(order), np.int16)
-        same = np.flatnonzero(symbol[order[1:]] == symbol[order[:-1]]) + 1
-        a, b = order[same - 1] + 1, order[same]  # the least common prefix of rows a..b
-        level = np.log2(b - a + 1).astype(np.int64)
-        for k in np.unique(level).tolist():
-            at = level == k
-            new_common[same[at]] = 1 + np.minimum(lowest[k][a[at]], lowest[k][b[at] - (1 << k) + 1])
-        doc, length = np.concatenate([ends_doc, doc[order]]), np.concatenate([ends_len, length[order] + 1])
-        common = np.concatenate([np.zeros(m, np.int16), new_common])
-        symbol = before(doc, length)
-    return doc, length, common, symbol
+    most = int(size.max(initial=0))
+    text = np.frombuffer(b"\0" + b"\0".join(segments), np.uint8)
+    high = int(text.max(initial=0)) + 1
+    edges = np.cumsum(np.append(0, size + 1))[:-1]  # the place of each document's edge
+    text = text.astype(np.uint8 if high < 256 else np.uint16) + 1
+    text[edges] = 0
+    ends = (edges + size).astype(np.int32)
+    narrow = np.uint8 if most < 255 else np.uint16 if most < 65535 else np.uint32
+    at, common, no_common = ends, np.zeros(m, narrow), np.zeros(m, narrow)
+    total = int(size.sum()) + m
+    levels = np.zeros(total + 1, np.int8)  # floor of the binary logarithm
+    for k in range(1, total.bit_length()):
+        levels[1 << k :] = k
+    symbol = text[at]
+    for _ in range(most):
+        order = np.argsort(symbol, kind="stable")[len(symbol) - np.count_nonzero(symbol) :]
+        n = len(common)
+        deep = int(levels[n]) + 1
+        lowest = np.empty((deep, n), narrow)  # lowest[k, i]: the least common prefix of rows i to i + 2 ** k - 1
+        lowest[0] = common
+        for k in range(1, deep):
+            half = 1 << (k - 1)
+            np.minimum(lowest[k - 1, : n - 2 * half + 1], lowest[k - 1, half : n - half + 1], out=lowest[k, : n - 2 * half + 1])
+        sorted_symbol = symbol[order]
+        same = sorted_symbol[1:] == sorted_symbol[:-1]
+        gap = order[1:] - order[:-1]
+        level = levels[np.where(same, gap, 1)]
+        row = level.astype(np.int64) * n
+        flat = lowest.ravel()
+        least = np.minimum(flat[row + np.where(same, order[:-1] + 1, 0)], flat[row + np.where(same, order[1:] + 1 - (1 << level.astype(np.int64)), 0)])
+        new_common = np.zeros(len(order), narrow)
+        new_common[1:] = np.where(same, least + 1, 0)
+        at = np.concatenate([ends, at[order] - 1])
+        common = np.concatenate([no_common, new_common])
+        symbol = text[at]
+    doc = np.searchsorted(edges, at, side="right") - 1
+    return doc, ends[doc] - at, common, symbol
 
 
 def repeated_windows(segments: list[bytes], ids: np.ndarray, lo: np.ndarray, windows: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -154,19 +162,24 @@ def spans_of(doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarra
 
 
 def occurrences(texts: DataFrame, length: int) -> DataFrame:
-    """(h, c, doc, lo, hi, done): anchor occurrences; ``done`` ones have an equal in their task and are removed already."""
+    """(h, c, l, r, doc, lo, hi, lead, done): anchor occurrences; ``done`` ones have an equal in their task and are removed already.
+
+    A window has half of its bytes beside the anchor to one side of it: l and r are hashes of that many bytes to the left and
+    to the right, so windows of different segments can only be equal if l or r are. ``lead``: from lo to the anchor."""
+    half = (length - GRAM) // 2
+
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> pa.RecordBatch:
-            h, c, doc, lo, hi = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, c, left, right, doc, lo, hi, lead = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             order, first, _ = first_of_class(h, c, doc, lo)
-            h, c, doc, lo, hi = (x[order] for x in (h, c, doc, lo, hi))
+            h, c, left, right, doc, lo, hi, lead = (x[order] for x in (h, c, left, right, doc, lo, hi, lead))
             h = np.where(first, h, T.mix(doc.astype(np.uint64)))  # what is done needs no partner: any partition will do
-            columns = [h.view(np.int64), c.view(np.int64), doc, lo.astype(np.int32), hi.astype(np.int32), ~first]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "c", "doc", "lo", "hi", "done"])
+            columns = [h.view(np.int64), c.view(np.int64), left, right, doc, lo.astype(np.int32), hi.astype(np.int32), lead.astype(np.int16), ~first]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "c", "l", "r", "doc", "lo", "hi", "lead", "done"])
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -177,25 +190,37 @@ def occurrences(texts: DataFrame, length: int) -> DataFrame:
                 spans = T.Spans(data)
                 h, c = spans.hash(place, place + GRAM), spans.hash(lo, hi + length)
                 c = T.mix(c + (place - lo).astype(np.uint64))
-                held.append((h, c, ids[at + owner], lo - offsets[owner], hi - offsets[owner]))
+                short = lambda x: (x >> np.uint64(33)).astype(np.int32)
+                left = short(spans.hash(np.maximum(lo, place - half), place))
+                right = short(spans.hash(place + GRAM, np.minimum(hi + length, place + GRAM + half)))
+                held.append((h, c, left, right, ids[at + owner], lo - offsets[owner], hi - offsets[owner], place - lo))
                 if sum(len(x[0]) for x in held) > HELD_ROWS:
                     yield flush()
         if held:
             yield flush()
 
-    return texts.mapInArrow(scan, "h long, c long, doc long, lo int, hi int, done boolean")
+    return texts.mapInArrow(scan, "h long, c long, l int, r int, doc long, lo int, hi int, lead short, done boolean")
+
+
+def shared(h: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Which rows have another row with equal (h, side)."""
+    with np.errstate(over="ignore"):
+        _, inverse, n = np.unique(T.mix(h.view(np.uint64) + side.astype(np.int64).view(np.uint64) * np.uint64(T.ODD)), return_inverse=True, return_counts=True)
+    return n[inverse] > 1
 
 
-def classes(found: DataFrame) -> DataFrame:
+def classes(found: DataFrame, length: int) -> DataFrame:
     """(doc, lo, hi, h, part, split) from occurrences: ``h`` null: all windows are removed; else the first of a segment whose
-    anchor has other segments, for collection ``part`` of it; ``split``: there are several parts."""
+    anchor has other segments, for collection ``part`` of it; ``split``: there are several parts. Of such segments only the
+    windows stay whose half beside the anchor is in another segment too."""
+    half = (length - GRAM) // 2
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         open_run = [0, 0, False]  # anchor, segments so far and whether it was cut, of a run that outgrew HELD_ROWS
 
         def flush(cut: bool) -> pa.RecordBatch:
-            h, c, doc, lo, hi, done = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, c, left, right, doc, lo, hi, lead, done = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             removed = done
             live = np.flatnonzero(~done)
@@ -212,7 +237,14 @@ def classes(found: DataFrame) -> DataFrame:
             if cut and len(rows):
                 split |= run == run[-1]
                 open_run[:] = [h[rows[-1]], int(nth[-1]) + 1, True]
-            rep = first & ((several > 1) | split)
+            rep = np.flatnonzero(first & ((several > 1) | split))
+            reps, cut_run = rows[rep], split[rep]
+            left_too = (lead[reps] >= half) & (cut_run | shared(h[reps], left[reps]))  # windows that start half or more before the anchor
+            right_too = (lo[reps] + lead[reps] - half < hi[reps]) & (cut_run | shared(h[reps], right[reps]))
+            turn = lo[reps] + lead[reps] - half  # the last of those
+            lo[reps] = np.where(left_too, lo[reps], np.maximum(lo[reps], turn + 1))
+            hi[reps] = np.where(right_too, hi[reps], np.minimum(hi[reps], turn))
+            rep = rep[left_too | right_too]
             out, kind = np.concatenate([rows[~first], np.flatnonzero(removed), rows[rep]]), int(removed.sum() + (~first).sum())
             null = np.arange(len(out)) < kind
             part = np.concatenate([np.zeros(kind, np.int64), nth[rep] // SPLIT])
@@ -225,7 +257,7 @@ def classes(found: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            cols = [batch.column(k).to_numpy(zero_copy_only=False).copy() for k in range(9)]
             cut = int(np.searchsorted(cols[0], cols[0][-1]))
             if cut or (held and held[-1][0][-1] != cols[0][0]):
                 held.append([x[:cut] for x in cols])
@@ -316,7 +348,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     if length < GRAM + 1:
         raise ValueError(f"length must be over {GRAM}")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    marks = written(classes(occurrences(texts, length)), "repeat-marks")
+    marks = written(classes(occurrences(texts, length), length), "repeat-marks")
     dealt = texts.repartition(partitions(docs.sparkSession), "id")  # one shuffle of the texts serves both joins
     found = written(compared(segments_of(dealt, marks, length), length), "repeat-spans")
     still = found.where(F.col("key").isNotNull())
