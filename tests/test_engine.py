@@ -137,3 +137,65 @@ def test_dangling_and_several_parents(spark):
     assert [tuple(r) for r in catalog.dangling().collect()] == [("b", "aids", "a", 1)]
     got = Engine(spark, catalog).truth("PREDICT COUNT(b.*) OVER (9 DAYS FOLLOWING) FROM a AS OF 2023-12-31").collect()
     assert {r["entity_id"]: r["label"] for r in got} == {1: 1.0, 2: 2.0}
+
+
+def test_walk_peers_and_stats(graph):
+    from tideline.operators.walks import walk_peers
+
+    q = f"{EXISTS} AS OF 2026-08-01"
+    cohort = graph.prepare(q).cohort
+    found = walk_peers(cohort, graph.catalog, "customers", datetime(2026, 8, 1), Policy(walk_length=6), walks=12)
+    rows = {(r["entity_id"], r["peer_id"]): r["visits"] for r in found.collect()}
+    assert rows.get(("C7", "C1"), 0) > 0 and not any("C9" in k for k in rows)
+    again = walk_peers(cohort.repartition(7), graph.catalog, "customers", datetime(2026, 8, 1), Policy(walk_length=6), walks=12)
+    assert {(r["entity_id"], r["peer_id"]): r["visits"] for r in again.collect()} == rows
+    assert graph.stats(f"{EXISTS} WHERE customer_id = 'C7' AS OF 2026-07-01") == {"entities": 1, "truncated_contexts": 0, "truncations": 0}
+
+
+def test_scores_to_predictions(spark):
+    from tideline.functions import scoring
+
+    df = spark.createDataFrame([([1.0, 0.0], [("a", [0.0, 2.0]), ("b", [3.0, 0.1])], [(0.2, 7), (0.9, 8), (0.9, 6)])], "f array<double>, c array<struct<name:string,vector:array<double>>>, r array<struct<p:double,id:long>>")
+    row = df.select(
+        scoring.class_by_cosine(F.col("f"), F.col("c")).alias("best"), scoring.class_probabilities(F.col("f"), F.col("c")).alias("p"), scoring.top_k(F.col("r"), 2).alias("top"),
+        scoring.decode(F.lit(0.0), F.lit(181.0), F.lit(5.0)).alias("mean"), scoring.sigmoid(F.lit(0.0)).alias("half"),
+    ).first()
+    assert (row["best"], row["top"], row["mean"], row["half"]) == ("b", ["8", "6"], 181.0, 0.5) and sum(row["p"]) == pytest.approx(1)
+
+
+def test_remote_scorer(graph):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from tideline.plans.scorers import RemoteScorer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            rows = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["rows"]
+            body = json.dumps({"scores": [float(len(r["tbl"])) for r in rows]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    scorer = RemoteScorer(f"http://127.0.0.1:{server.server_port}/v1/score", batch=2)
+    rows = graph.execute("PREDICT SUM(orders.qty) OVER (30 DAYS FOLLOWING) FROM customers WHERE customer_id = 'C7' AS OF 2026-07-01", scorer).collect()
+    server.shutdown()
+    assert [r["value"] for r in rows] == [14.0]
+
+
+def test_rescoring_stream(graph, spark, tmp_path):
+    from tideline.streaming import rescore
+
+    path = str(tmp_path / "in")
+    graph.catalog.frame("orders").write.parquet(path)
+    stream = spark.readStream.schema(graph.catalog.frame("orders").schema).parquet(path)
+    got = []
+    q = rescore(graph, stream, "order_date", Request("PREDICT COUNT(orders.*) OVER (90 DAYS FOLLOWING) FROM customers"), lambda df, n: got.append(df.count()), str(tmp_path / "check"))
+    q.awaitTermination(120)
+    assert got == [3]

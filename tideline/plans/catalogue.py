@@ -12,6 +12,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scoring
 from ..lang.parser import parse
 from ..operators import context as contexts
 from ..operators import tokens
@@ -298,6 +299,22 @@ add("token_rows", lambda e: Engine(e.spark, e.catalog, policy=ONE_HOP).token_row
     {_ctx} SELECT entity_id, 'cell' AS kind, CAST(sum(n_cells) AS BIGINT) AS n FROM c GROUP BY 1
     UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'target', 1 FROM customer WHERE c_custkey IN {_few} UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'label', 3 FROM customer WHERE c_custkey IN {_few}""")
 
+# -- scores over embeddings
+
+
+def _classes(e: Engine, sf_dir: str) -> DataFrame:
+    """Rows by the class whose vector, that of the class's smallest id, has the largest cosine to theirs."""
+    rows = e.spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    named = rows.groupBy("label").agg(F.min_by("v", "vec_id").alias("vector"))
+    order = named.agg(F.array_sort(F.collect_list(F.struct(F.col("label").alias("name"), "vector"))).alias("c"))  # a row for each label
+    return rows.join(F.broadcast(order)).select("vec_id", scoring.class_by_cosine(F.col("v"), F.col("c")).alias("predicted"))
+
+
+_queries["cosine_classes"] = lambda spark, sf_dir: _classes(engine(spark, sf_dir), sf_dir)
+_sql["cosine_classes"] = """
+    WITH c AS (SELECT label, first(embedding::DOUBLE[] ORDER BY vec_id) AS w FROM embeddings GROUP BY 1)
+    SELECT vec_id, first(c.label ORDER BY list_cosine_similarity(embedding::DOUBLE[], w) DESC, c.label) AS predicted FROM embeddings CROSS JOIN c GROUP BY vec_id"""
+
 # -- events: finer frames
 
 for _name, _frame, _to in (("hours", "6 HOURS", "2024-01-15 06:00:00"), ("seconds", "90000 SECONDS", "2024-01-16 01:00:00"), ("minutes", "300 MINUTES", "2024-01-15 05:00:00"), ("days", "3 DAYS", "2024-01-18")):

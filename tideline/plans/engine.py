@@ -293,6 +293,13 @@ class Engine:
         made = contexts.assemble(p.cohort, self.catalog, p.statement.table, p.context_anchor, policy or self.policy)
         return rewrites.rewritten(made, self.catalog, p.statement, p.context_anchor)
 
+    def stats(self, request: Request | str) -> dict[str, int]:
+        """How many entities a request scores, how many contexts a fan-out cut, and how often."""
+        context = self.assemble_context(request)
+        each = context.groupBy("entity_id").agg(F.max("truncated").alias("t"))
+        row = each.agg(F.count("*").alias("n"), F.count(F.when(F.col("t") > 0, 1)).alias("cut"), F.coalesce(F.sum("t"), F.lit(0)).alias("events")).first()
+        return {"entities": row["n"], "truncated_contexts": row["cut"], "truncations": int(row["events"])}
+
     def token_rows(self, request: Request | str, stats: DataFrame | None = None, max_len: int = 2048) -> DataFrame:
         p = self.prepare(request)
         labels = None

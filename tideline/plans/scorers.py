@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -29,3 +31,21 @@ class TokenScorer:
                 yield pd.DataFrame({"entity_id": batch["entity_id"], output: forward(batch)})
 
         return wide.mapInPandas(scan, f"entity_id string, {output} double")
+
+
+class RemoteScorer(TokenScorer):
+    """Sends batches of at most ``batch`` entities to a server: POST {"rows": [...]} to ``url``, answered by {"scores": [...]}."""
+
+    def __init__(self, url: str, output: str = "value", max_len: int = 2048, batch: int = 64, timeout: float = 60.0) -> None:
+        def forward(rows: pd.DataFrame) -> list[float]:
+            scores: list[float] = []
+            for at in range(0, len(rows), batch):
+                body = json.dumps({"rows": json.loads(rows.iloc[at : at + batch].to_json(orient="records"))}).encode()
+                request = urllib.request.Request(url, body, {"Content-Type": "application/json"})
+                with urllib.request.urlopen(request, timeout=timeout) as reply:
+                    scores += json.load(reply)["scores"]
+            if len(scores) != len(rows):
+                raise ValueError(f"{url} gave {len(scores)} scores for {len(rows)} rows")
+            return scores
+
+        super().__init__(forward, output, max_len)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -67,16 +68,22 @@ class Schema:
 
 
 class Catalog:
-    """The data behind a schema: a DataFrame for each table, read when it is asked for."""
+    """The data behind a schema: for each table a DataFrame, or a function that gives it when it is first asked for."""
 
-    def __init__(self, schema: Schema, frames: dict[str, DataFrame]) -> None:
-        self.schema, self.frames = schema, frames
+    def __init__(self, schema: Schema, frames: dict[str, DataFrame | Callable[[], DataFrame]]) -> None:
+        self.schema, self.frames = schema, dict(frames)
 
     def frame(self, name: str) -> DataFrame:
         if name not in self.frames:
             raise CatalogFault(f"table {name} has no data")
+        if not isinstance(self.frames[name], DataFrame):
+            self.frames[name] = self.frames[name]()
         return self.frames[name]
 
+    def rows(self, table: str, ids: list, anchor: object | None = None) -> DataFrame:
+        """The rows with these keys, as of the anchor."""
+        return self.bounded(table, anchor).where(F.col(self.schema.tables[table].pk).isin(*ids))
+
     def parents(self, link: Link) -> DataFrame:
         """The child's rows with ``__parent``: one row for each parent where the key is an array; rows without one are out."""
         df = self.frame(link.child)
