@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cache, partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,12 +114,13 @@ class Catalog:
         return reduce(DataFrame.union, parts)
 
 
-def infer(frames: dict[str, DataFrame], keys: dict[str, str], times: dict[str, str], links: list[tuple[str, str, str]]) -> Schema:
-    """A schema from the frames' types; keys and foreign keys are not features."""
+def infer(frames: dict[str, DataFrame | T.StructType], keys: dict[str, str], times: dict[str, str], links: list[tuple[str, str, str]]) -> Schema:
+    """A schema from the frames' types, or from types alone; keys and foreign keys are not features."""
     schema = Schema()
-    for name, df in frames.items():
+    for name, frame in frames.items():
+        fields = frame if isinstance(frame, T.StructType) else frame.schema
         hidden = {keys.get(name)} | {fk for child, fk, _ in links if child == name}
-        columns = {f.name: value_type(f.dataType) for f in df.schema if f.name not in hidden and value_type(f.dataType)}
+        columns = {f.name: value_type(f.dataType) for f in fields if f.name not in hidden and value_type(f.dataType)}
         schema.table(name, columns, keys.get(name), times.get(name))
     for child, fk, parent in links:
         schema.link(child, fk, parent)
@@ -139,8 +140,26 @@ LINKS = [
 ]
 
 
+#: The driver tables' columns: declared, so that reading them needs no pass over their files.
+COLUMNS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+}
+
+
+@cache
+def shop_schema() -> tuple[Schema, dict[str, T.StructType]]:
+    types = {n: T.StructType.fromDDL(ddl) for n, ddl in COLUMNS.items()}
+    return infer(types, KEYS, TIMES, LINKS), types
+
+
 def shop(spark: SparkSession, sf_dir: str) -> Catalog:
-    """The catalog of the shop tables below ``sf_dir``."""
-    names = list(dict.fromkeys([*KEYS, *TIMES]))
-    frames = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
-    return Catalog(infer(frames, KEYS, TIMES, LINKS), frames)
+    """The catalog of the shop tables below ``sf_dir``; a table is looked up when a statement needs it."""
+    schema, types = shop_schema()
+    return Catalog(schema, {n: partial(spark.read.schema(kind).parquet, f"{sf_dir}/{n}.parquet") for n, kind in types.items()})
