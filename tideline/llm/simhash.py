@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions, require, written
 from .graph import connected_components
+from .near_copies import one_of_each  # noqa: F401 (where it was before)
 
 RADIUS = 4
 SMALL = 16
@@ -58,11 +59,6 @@ class Spec:
     seed: int = 42
 
 
-#: For near-duplicate stages: five-word shingles that agree to 0.8 mean two-word ones that agree to about 0.9, and so few
-#: enough differing bits for RADIUS; two independent fingerprints, either of which may link.
-STAGE = (Spec(2, False, 42), Spec(2, False, 43))
-
-
 def shingle_hashes(words: list[bytes], n: int, seed: int = 42) -> np.ndarray:
     """XXH64 of the space-joined n-word shingles, repeats included."""
     joined = b" ".join(words)
@@ -236,12 +232,3 @@ def simhash_components(
     named = connected_components(edges)
     named = nodes.join(named, nodes["rep"] == named["node"], "left").select(*fps, F.coalesce("component", "rep").alias("component_id"))
     return marked.join(named, fps).select(F.col("id").alias(id_col), *fps, "component_id")
-
-
-def one_of_each(docs: DataFrame, specs: tuple[Spec, ...] = STAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component, all columns kept; of rows with one id, one."""
-    found = simhash_components(docs, specs, id_col, text_col)
-    stays = written(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("n")), "stays")
-    kept = docs.join(stays.select(id_col), id_col, "left_semi")
-    repeated = stays.agg(F.max("n")).first()[0] or 0
-    return kept.dropDuplicates([id_col]) if repeated > 1 else kept
