@@ -137,6 +137,23 @@ def test_lm_scores(spark, docs):
         assert got[i]["score"] < 0
 
 
+@pytest.mark.parametrize("share", [None, 1e-3])
+def test_lm_knows_every_string(docs, monkeypatch, share):
+    """Against one trie of all strings, however few of them are frequent."""
+    if share:
+        monkeypatch.setattr(ppm, "SHARE", share)
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    learned = {i: t for i, t in texts.items() if i % 5}
+    coded = lambda ts: ppm.coded(np.frombuffer(b"".join(ts), np.uint8), np.cumsum([0, *map(len, ts)]))
+    keys, first, end = coded(list(learned.values()))
+    keys = keys[np.concatenate([np.arange(a, b) for a, b in zip(first, end)])]
+    trie = ppm.Trie([np.unique(keys & np.uint64((1 << 8 * (k + 1)) - 1), return_counts=True) for k in range(ppm.ORDER + 1)])
+    keys, first, end = coded(list(texts.values()))
+    got = {r["doc_id"]: r["score"] for r in ppm.score_corpus(docs, docs.where("doc_id % 5 <> 0")).collect()}
+    for i, a, b in zip(texts, first, end, strict=True):
+        assert got[i] == pytest.approx(trie.log_probability(keys[a:b]).sum(), abs=1e-6)
+
+
 def test_lm_odd(odd):
     got = ppm.score_corpus(odd, odd.limit(0)).collect()
     assert len(got) == len(ODD)

@@ -3,11 +3,15 @@
 Training gathers two kinds of counts over all admitted texts in one pass: (``ORDER`` + 1)-byte strings, and words. Counts are
 combined in each task before they are shuffled and are stored as a table in the shared folder.
 
-The byte-context trie holds the strings of every length up to ORDER + 1 that make up at least ``SHARE`` of the training
-bytes, so it has at most (ORDER + 1) / SHARE entries however large the corpus is: a proven bound for what is collected and
-broadcast. An escape weighs as much as the context's distinct symbols and the occurrences that SHARE has left out; after an
-escape the symbols that the longer context knows are excluded. The trie is pretrained and fixed, so all that an exclusion needs depends on the longer context alone and is
-computed when the trie is built; a text's code length is then a sum of table look-ups.
+The byte-context trie holds the strings of every length up to ORDER + 1, whatever their counts. An escape weighs as much as the
+context's distinct symbols; after an escape the symbols that the longer context knows are excluded. The trie is pretrained and
+fixed, so all that an exclusion needs depends on the longer context alone and is computed when the trie is built; what a byte
+costs depends on its (ORDER + 1)-byte string alone, and a text's code length is a sum of look-ups.
+
+No task holds the whole trie. All of it that strings with the same two bytes before their symbol need are those strings and the
+two-byte ones (at most 65,536, sent to every task), so counts are dealt by these two bytes and each task builds its part, which
+is exact. Strings that make up at least ``SHARE`` of the training bytes, at most 1 / SHARE of them, are scored there once, and
+their logarithms broadcast; every other string of a text goes by a shuffle to its part of the trie.
 
 The baseline needs the count of every word, and there is no bound on words. Frequent words (at least 1 / ``FREQUENT`` of the
 tokens, so at most FREQUENT of them) are looked up in each task; the rest go to the table of counts by a shuffle on the word.
@@ -20,11 +24,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import require, written
+from .common import partitions, require, written
 from .features import Spaced, spaced, word_spans
 
 ORDER = 5
@@ -100,11 +105,9 @@ class Trie:
             ctx, first = np.unique(keys >> np.uint64(8), return_index=True)
             total = np.add.reduceat(n, first) if len(n) else n
             distinct = np.diff(np.append(first, len(keys))).astype(np.float64)
-            unseen = distinct.copy()  # the weight of an escape
+            unseen = distinct  # the weight of an escape
             below, escape_below = np.zeros(len(ctx)), np.zeros(len(ctx))
             if last is not None and len(ctx):
-                at = np.minimum(np.searchsorted(last[0], ctx), len(last[0]) - 1)
-                unseen += np.maximum(0, np.where(last[0][at] == ctx, last[1][at], 0) - total)  # what SHARE has left out
                 bits = np.uint64((1 << 8 * len(self.levels)) - 1)
                 shared = last[1][np.searchsorted(last[0], keys & bits)]  # the shorter context's counts of the same symbols
                 up = np.searchsorted(last[2], ctx & (bits >> np.uint64(8)))
@@ -199,40 +202,98 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Scorer:
-    trie: Trie
+    pairs: tuple[np.ndarray, np.ndarray]  # keys and counts of two-byte strings
+    strings: Table  # the frequent ones of ORDER + 1 bytes
+    string_logs: np.ndarray
     words: Table
     word_counts: np.ndarray
     tokens: int  # N
     distinct: int  # V
 
 
+def suffixes(keys: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of the last ``length`` bytes."""
+    return merged([(keys & np.uint64((1 << 8 * length) - 1), n)])
+
+
+def trie_part(pairs: tuple[np.ndarray, np.ndarray], keys: np.ndarray, n: np.ndarray) -> Trie:
+    """The trie over ``pairs`` and all strings of some pairs of bytes before the symbol, for keys with these."""
+    return Trie([suffixes(*pairs, 1), pairs, *(suffixes(keys, n, k + 1) for k in range(2, ORDER + 1))])
+
+
+def by_part(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt by the two bytes before the symbol of ``key``, counts (without ``row``) first."""
+    dealt = rows.repartition(partitions(rows.sparkSession), F.shiftright("key", 8).bitwiseAND(0xFFFF))
+    return dealt.sortWithinPartitions(F.col("row").isNotNull())
+
+
+def string_scores(counts: DataFrame, asked: DataFrame | None, pairs: Broadcast, least: int) -> DataFrame:
+    """(row, score): sums over ``asked`` (row, key, n) by the trie of all strings in ``counts``; without ``asked`` (key, score)
+    of each string counted ``least`` times or more."""
+    themselves = asked is None
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, trie = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], None
+        for batch in batches:
+            key, n = batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()
+            known = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            if known.any():
+                held.append((key[known], n[known]))
+            if known.all():
+                continue
+            if trie is None:
+                trie, held = trie_part(pairs.value, *(np.concatenate(x) for x in zip(*held, strict=True))), []
+            rows, at = np.unique(batch.column(0).drop_null().to_numpy(), return_inverse=True)
+            logs = trie.log_probability(key[~known]) * n[~known]
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(at, logs, minlength=len(rows)))], names=["row", "score"])
+        if themselves and len(held) > 1:
+            keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            often = keys[n >= least]
+            logs = trie_part(pairs.value, keys, n).log_probability(often) if len(often) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([pa.array(often.view(np.int64)), pa.array(logs)], names=["row", "score"])
+
+    rows = counts.where(F.col("kind") == BYTES).select(F.lit(None).cast("long").alias("row"), "key", "n")
+    return by_part(rows if themselves else rows.unionByName(asked)).mapInArrow(scan, "row long, score double")
+
+
 def fit(counts: DataFrame) -> Scorer:
-    """The trie and the frequent words from ``corpus_counts``; what is collected has the bounds of the module's text."""
+    """The frequent strings and words from ``corpus_counts``; what is collected has the bounds of the module's text."""
     totals = {r["kind"]: (r["n"], r["v"]) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     tokens, distinct = totals.get(WORDS, (0, 0))
     size = totals.get(BYTES, (0, 0))[0]
     least = max(1, int(np.ceil(SHARE * size)))
-    lengths = F.array(*(F.struct(F.lit(k).cast("byte").alias("k"), F.lit((1 << 8 * (k + 1)) - 1).alias("mask")) for k in range(ORDER + 1)))
-    strings = (
-        counts.where(F.col("kind") == BYTES).select("key", "n", F.explode(lengths).alias("x"))
-        .groupBy(F.col("x.k").alias("k"), F.col("key").bitwiseAND(F.col("x.mask")).alias("key")).agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= least).toArrow()
-    )
-    k, key, n = (strings.column(c).to_numpy() for c in ("k", "key", "n"))
-    trie = Trie([(key[k == x].astype(np.uint64), n[k == x]) for x in range(ORDER + 1)])
+    short = counts.where(F.col("kind") == BYTES).groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    pairs = (short.column("key").to_numpy().astype(np.uint64), short.column("n").to_numpy().astype(np.int64))
+    frequent = string_scores(counts, None, counts.sparkSession.sparkContext.broadcast(pairs), least).toArrow()
+    strings = Table(frequent.column("row").to_numpy().astype(np.int64).view(np.uint64))
     often = counts.where((F.col("kind") == WORDS) & (F.col("n") >= max(2, -(-tokens // FREQUENT)))).select("key", "n").toArrow()
-    return Scorer(trie, Table(often.column("key").to_numpy().view(np.uint64)), often.column("n").to_numpy(), tokens, distinct)
+    return Scorer(
+        pairs, strings, frequent.column("score").to_numpy(), Table(often.column("key").to_numpy().view(np.uint64)), often.column("n").to_numpy(), tokens, distinct
+    )
 
 
-def score_block(model: Scorer, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each text: log10 probability, tokens, known tokens and sum of log10(c + 1) of the frequent ones; and the rest as
-    (text, word, times)."""
+def times_in_text(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key, times) of every different key of every text."""
+    with np.errstate(over="ignore"):
+        _, at, times = np.unique(T.mix(keys + owner.astype(np.uint64) * np.uint64(T.ODD)), return_index=True, return_counts=True)
+    return owner[at], keys[at], times
+
+
+def score_block(model: Scorer, data: np.ndarray, offsets: np.ndarray) -> tuple:
+    """For each text: log10 probability of its frequent strings, tokens, known tokens and sum of log10(c + 1) of the frequent
+    ones; and the rest as (text, word, times) and (text, string, times)."""
     n = len(offsets) - 1
     keys, first, end = coded(data, offsets)
-    logs = np.zeros(len(keys) + 1)
+    logs, unsettled = np.zeros(len(keys) + 1), np.ones(len(keys) + 1, bool)
     for at in range(0, len(keys), T.BLOCK):
-        logs[at : at + T.BLOCK][: len(keys) - at] = model.trie.log_probability(keys[at : at + T.BLOCK])
+        place = model.strings.find(keys[at : at + T.BLOCK])
+        hit = place >= 0
+        logs[at : at + T.BLOCK][: len(hit)][hit] = model.string_logs[place[hit]]
+        unsettled[at : at + T.BLOCK][: len(hit)] = ~hit
     score = np.add.reduceat(logs, np.stack([first, end], 1).ravel())[::2] if n else np.zeros(0)
+    inside, text = np.concatenate([np.arange(a, b) for a, b in zip(first.tolist(), end.tolist(), strict=True)]), np.repeat(np.arange(n), end - first)
+    rest = unsettled[inside]
+    strings = times_in_text(keys[inside[rest]], text[rest])
     words, owner = text_words(data, offsets)
     words, owner = np.append(words, np.full(n, END, np.uint64)), np.append(owner, np.arange(n))
     tokens = np.bincount(owner, minlength=n)
@@ -240,10 +301,7 @@ def score_block(model: Scorer, data: np.ndarray, offsets: np.ndarray) -> tuple[n
     often = place >= 0
     known = np.bincount(owner[often], minlength=n)
     base = np.bincount(owner[often], np.log10(model.word_counts[place[often]] + 1.0), minlength=n).astype(float)  # bincount of nothing is whole
-    words, owner = words[~often], owner[~often]
-    with np.errstate(over="ignore"):
-        _, at, times = np.unique(T.mix(words + owner.astype(np.uint64) * np.uint64(T.ODD)), return_index=True, return_counts=True)
-    return score, tokens, known, base, owner[at], words[at], times
+    return score, tokens, known, base, times_in_text(words[~often], owner[~often]), strings
 
 
 def lm_scores(docs: DataFrame, counts: DataFrame, model: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,31 +313,39 @@ def lm_scores(docs: DataFrame, counts: DataFrame, model: Scorer, id_col: str = "
     """
     require(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["row", "id", "key", "n_tokens", "n_known", "base", "score"]
+    names = ["row", "id", "kind", "key", "n_tokens", "n_known", "base", "score"]
     kind = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row_ids = batch.column(0)
             for at, n, data, offsets in T.blocks(batch.column(2)):
-                score, tokens, known, base, owner, words, times = score_block(shared.value, data, offsets)
+                score, tokens, known, base, *others = score_block(shared.value, data, offsets)
                 row, ids = row_ids.slice(at, n), batch.column(1).slice(at, n)
                 none = lambda k, t: pa.nulls(k, t)
-                yield pa.RecordBatch.from_arrays([row, ids, none(n, pa.int64()), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score)], names=names)
-                k = len(owner)
                 yield pa.RecordBatch.from_arrays(
-                    [row.take(pa.array(owner)), none(k, ids.type), pa.array(words.view(np.int64)), pa.array(times), none(k, pa.int64()), none(k, pa.float64()), none(k, pa.float64())],
-                    names=names,
-                )
+                    [row, ids, none(n, pa.int8()), none(n, pa.int64()), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score)], names=names
+                )
+                for kind_of, (owner, keys, times) in zip((WORDS, BYTES), others, strict=True):
+                    k = len(owner)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            row.take(pa.array(owner)), none(k, ids.type), pa.array(np.full(k, kind_of, np.int8)), pa.array(keys.view(np.int64)), pa.array(times),
+                            none(k, pa.int64()), none(k, pa.float64()), none(k, pa.float64()),
+                        ],
+                        names=names,
+                    )
 
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    scored = written(source.mapInArrow(scan, f"row long, id {kind}, key long, n_tokens long, n_known long, base double, score double"), "lm-rows")
-    rare = scored.where(F.col("key").isNotNull()).select("row", "key", "n_tokens")
+    scored = written(source.mapInArrow(scan, f"row long, id {kind}, kind byte, key long, n_tokens long, n_known long, base double, score double"), "lm-rows")
+    rare = scored.where(F.col("kind") == WORDS).select("row", "key", "n_tokens")
     c = F.col("n")
     found = rare.join(counts.where(F.col("kind") == WORDS).select("key", "n"), "key").select(
         "row", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("long").alias("n_tokens"), F.col("n_tokens").alias("n_known"), (F.col("n_tokens") * F.log10(c + 1)).alias("base"), F.lit(None).cast("double").alias("score"),
     )
-    per_row = scored.where(F.col("key").isNull()).drop("key").unionByName(found).groupBy("row").agg(
+    asked = scored.where(F.col("kind") == BYTES).select("row", "key", F.col("n_tokens").alias("n"))
+    strings = string_scores(counts, asked, docs.sparkSession.sparkContext.broadcast(model.pairs), 0)
+    per_row = scored.where(F.col("kind").isNull()).drop("kind", "key").unionByName(found).unionByName(strings, True).groupBy("row").agg(
         F.max("id").alias("id"), *(F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")),
     )
     norm = float(np.log10(model.tokens + model.distinct + 1))
