@@ -1,0 +1,14 @@
+"""Context queries over every customer against their SQL."""
+
+import pytest
+
+from tests.test_catalogue import test_against_sql as against_sql
+from tideline.plans import catalogue
+
+NAMES = ["ctx_parents", "ctx_bfs1", "ctx_bfs2", "ctx_report", "ablate_effect", "ablation_report", "assume_assign", "assume_count_add", "assume_count_drop", "assume_not_exists", "token_rows"]
+
+
+@pytest.mark.parametrize("name", [f"{n}_all" for n in NAMES])
+def test_over_all(spark, sf, name):
+    assert "c_custkey IN" not in catalogue.oracle_sql()[name]
+    against_sql(spark, sf, name)

@@ -273,32 +273,46 @@ _ctx = f"""WITH {_child}, c AS (
     UNION ALL SELECT CAST(o_custkey AS VARCHAR), 'orders', CAST(o_orderkey AS VARCHAR), 1, 4 FROM o WHERE n <= 4)"""
 add("ctx_children_topk", lambda e: contexts.children(e.catalog, "orders", "o_custkey", e.catalog.frame("customer").select(F.col("c_custkey").alias("key")), WHEN[A], 3).select("parent_id", "o_orderkey", "place"), f"""
     SELECT o_custkey AS parent_id, o_orderkey, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS INTEGER) AS place FROM orders WHERE o_orderdate <= TIMESTAMP '{A}') WHERE place <= 3""")
-add("ctx_parents", lambda e: e.assemble_context(FEW, ONE_HOP).where("tbl = 'nation'").select("entity_id", "row_id"), f"SELECT CAST(c_custkey AS VARCHAR) AS entity_id, CAST(c_nationkey AS VARCHAR) AS row_id FROM customer WHERE c_custkey IN {_few}")
-add("ctx_bfs1", lambda e: e.assemble_context(FEW, ONE_HOP).select("entity_id", "tbl", "row_id", "hop", "n_cells"), f"{_ctx} SELECT entity_id, tbl, row_id, hop, n_cells FROM c")
-add("ctx_bfs2", lambda e: e.assemble_context(FEW, contexts.Policy(max_hops=2, bfs_width=2, max_context_cells=10_000)).where("tbl IN ('customer', 'orders', 'region')").groupBy("entity_id", "tbl", "hop").agg(F.count("*").alias("n")), f"""
+
+
+def add_contexts(few: str, suffix: str = "", sql: Callable[[str], str] = lambda text: text) -> None:
+    """The queries over contexts of the population of ``few``, named with ``suffix``, their SQL by way of ``sql``."""
+    FEW, put = few, lambda name, f, text: add(name + suffix, f, sql(text))  # noqa: E731, N806
+    put("ctx_parents", lambda e: e.assemble_context(FEW, ONE_HOP).where("tbl = 'nation'").select("entity_id", "row_id"), f"SELECT CAST(c_custkey AS VARCHAR) AS entity_id, CAST(c_nationkey AS VARCHAR) AS row_id FROM customer WHERE c_custkey IN {_few}")
+    put("ctx_bfs1", lambda e: e.assemble_context(FEW, ONE_HOP).select("entity_id", "tbl", "row_id", "hop", "n_cells"), f"{_ctx} SELECT entity_id, tbl, row_id, hop, n_cells FROM c")
+    put("ctx_bfs2", lambda e: e.assemble_context(FEW, contexts.Policy(max_hops=2, bfs_width=2, max_context_cells=10_000)).where("tbl IN ('customer', 'orders', 'region')").groupBy("entity_id", "tbl", "hop").agg(F.count("*").alias("n")), f"""
     WITH {_child}, mine AS (SELECT * FROM customer WHERE c_custkey IN {_few}),
     near AS (SELECT m.c_custkey AS e, c.c_custkey AS k, row_number() OVER (PARTITION BY m.c_custkey ORDER BY CAST(c.c_custkey AS VARCHAR)) AS n FROM mine m JOIN customer c ON c.c_nationkey = m.c_nationkey)
     SELECT CAST(c_custkey AS VARCHAR) AS entity_id, 'customer' AS tbl, 0 AS hop, 1 AS n FROM mine
     UNION ALL SELECT CAST(o_custkey AS VARCHAR), 'orders', 1, count(*) FROM o WHERE n <= 2 GROUP BY 1
     UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'region', 2, 1 FROM mine
     UNION ALL SELECT CAST(e AS VARCHAR), 'customer', 2, count(*) FROM near WHERE n <= 2 AND k <> e GROUP BY 1 HAVING count(*) > 0""")
-add("ctx_report", lambda e: contexts.report(e.assemble_context(FEW, ONE_HOP)).select("tbl", "n_rows", "n_cells"), f"{_ctx} SELECT tbl, count(*) AS n_rows, CAST(sum(n_cells) AS BIGINT) AS n_cells FROM c GROUP BY 1")
-add("ablate_effect", lambda e: e.assemble_context(FEW.replace(" AS OF", " ABLATE TABLE orders AS OF"), ONE_HOP).groupBy("entity_id").agg(F.sum("n_cells").alias("n_cells")), f"{_ctx} SELECT entity_id, CAST(sum(n_cells) AS BIGINT) AS n_cells FROM c WHERE tbl <> 'orders' GROUP BY 1")
-add("ablation_report", lambda e: plain(Engine(e.spark, e.catalog, policy=ONE_HOP).ablation(FEW).where("kind = 'table'").select("name", "mean_delta", "max_abs_delta")), f"""
+    put("ctx_report", lambda e: contexts.report(e.assemble_context(FEW, ONE_HOP)).select("tbl", "n_rows", "n_cells"), f"{_ctx} SELECT tbl, count(*) AS n_rows, CAST(sum(n_cells) AS BIGINT) AS n_cells FROM c GROUP BY 1")
+    put("ablate_effect", lambda e: e.assemble_context(FEW.replace(" AS OF", " ABLATE TABLE orders AS OF"), ONE_HOP).groupBy("entity_id").agg(F.sum("n_cells").alias("n_cells")), f"{_ctx} SELECT entity_id, CAST(sum(n_cells) AS BIGINT) AS n_cells FROM c WHERE tbl <> 'orders' GROUP BY 1")
+    put("ablation_report", lambda e: plain(Engine(e.spark, e.catalog, policy=ONE_HOP).ablation(FEW).where("kind = 'table'").select("name", "mean_delta", "max_abs_delta")), f"""
     {_ctx}, s AS (SELECT tbl, entity_id, sum(n_cells) AS x FROM c GROUP BY 1, 2)
     SELECT name, round(coalesce(-sum(x) / 8, 0.0), 4) AS mean_delta, CAST(coalesce(max(x), 0) AS DOUBLE) AS max_abs_delta
     FROM (VALUES ('nation'), ('region'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events')) t(name) LEFT JOIN s ON s.tbl = name GROUP BY 1""")
-add("assume_assign", lambda e: e.assemble_context(FEW.replace(" AS OF", " ASSUMING c_mktsegment = 'MOON' AS OF"), ONE_HOP).where("tbl = 'customer'").select("entity_id", "row_id", F.col("cells")["c_mktsegment"].alias("segment")),
+    put("assume_assign", lambda e: e.assemble_context(FEW.replace(" AS OF", " ASSUMING c_mktsegment = 'MOON' AS OF"), ONE_HOP).where("tbl = 'customer'").select("entity_id", "row_id", F.col("cells")["c_mktsegment"].alias("segment")),
     f"SELECT CAST(c_custkey AS VARCHAR) AS entity_id, CAST(c_custkey AS VARCHAR) AS row_id, 'MOON' AS segment FROM customer WHERE c_custkey IN {_few}")
-_counted = f"SELECT CAST(c_custkey AS VARCHAR) AS entity_id, CAST({{}}(count(o_orderkey), {{}}) AS BIGINT) AS n FROM customer LEFT JOIN o ON o_custkey = c_custkey AND n <= 4 WHERE c_custkey IN {_few} GROUP BY 1"
-_orders = lambda e, what: e.assemble_context(FEW.replace(" AS OF", f" ASSUMING {what} AS OF"), ONE_HOP).groupBy("entity_id").agg(F.count(F.when(F.col("tbl") == "orders", 1)).alias("n"))
-add("assume_count_add", lambda e: _orders(e, "COUNT(orders.*) OVER (UNBOUNDED PRECEDING) >= 7"), f"WITH {_child} {_counted.format('greatest', 7)}")
-add("assume_count_drop", lambda e: _orders(e, "COUNT(orders.*) OVER (UNBOUNDED PRECEDING) <= 2"), f"WITH {_child} {_counted.format('least', 2)}")
-add("assume_not_exists", lambda e: _orders(e, "NOT EXISTS(orders.*)"), f"WITH {_child} {_counted.format('least', 0)}")
-add("token_rows", lambda e: Engine(e.spark, e.catalog, policy=ONE_HOP).token_rows(FEW).groupBy("entity_id", "kind").agg(F.count("*").alias("n")), f"""
+    _counted = f"SELECT CAST(c_custkey AS VARCHAR) AS entity_id, CAST({{}}(count(o_orderkey), {{}}) AS BIGINT) AS n FROM customer LEFT JOIN o ON o_custkey = c_custkey AND n <= 4 WHERE c_custkey IN {_few} GROUP BY 1"
+    _orders = lambda e, what: e.assemble_context(FEW.replace(" AS OF", f" ASSUMING {what} AS OF"), ONE_HOP).groupBy("entity_id").agg(F.count(F.when(F.col("tbl") == "orders", 1)).alias("n"))
+    put("assume_count_add", lambda e: _orders(e, "COUNT(orders.*) OVER (UNBOUNDED PRECEDING) >= 7"), f"WITH {_child} {_counted.format('greatest', 7)}")
+    put("assume_count_drop", lambda e: _orders(e, "COUNT(orders.*) OVER (UNBOUNDED PRECEDING) <= 2"), f"WITH {_child} {_counted.format('least', 2)}")
+    put("assume_not_exists", lambda e: _orders(e, "NOT EXISTS(orders.*)"), f"WITH {_child} {_counted.format('least', 0)}")
+    put("token_rows", lambda e: Engine(e.spark, e.catalog, policy=ONE_HOP).token_rows(FEW).groupBy("entity_id", "kind").agg(F.count("*").alias("n")), f"""
     {_ctx} SELECT entity_id, 'cell' AS kind, CAST(sum(n_cells) AS BIGINT) AS n FROM c GROUP BY 1
     UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'target', 1 FROM customer WHERE c_custkey IN {_few} UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'label', 3 FROM customer WHERE c_custkey IN {_few}""")
 
+
+def over_all(text: str) -> str:
+    """SQL for eight customers as SQL for the whole table."""
+    return text.replace(f" AND o_custkey IN {_few}", "").replace(f" WHERE c_custkey IN {_few}", "").replace("-sum(x) / 8", "-sum(x) / (SELECT count(*) FROM customer)")
+
+
+add_contexts(FEW)
+add_contexts(FEW.replace(f" WHERE c_custkey IN {_few}", ""), "_all", over_all)
+
 # -- scores over embeddings
 
 
