@@ -301,13 +301,43 @@ def test_shards(docs, odd):
         by[r["shard"]].append(r)
     assert set(map(len, by.values())) <= {n // 16, n // 16 + 1} and sorted(by) == list(range(16))
     assert all(sorted(r["slot"] for r in rows) == list(range(len(rows))) for rows in by.values())
-    flat = [(r["curve"], r["doc_id"]) for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
+    flat = [r["curve"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
     assert flat == sorted(flat)
+    index = dict(zip(map(tuple, np.indices((32,) * 3).reshape(3, -1).T.tolist()), sharding.hilbert_index(np.indices((32,) * 3).reshape(3, -1).T, 5).tolist()))
+    places = []
+    for values in ([r["source"] for r in got], [r["lang"] for r in got]):
+        ordered, cuts = sorted(v for v in values if v is not None), set()
+        for v in set(ordered):
+            upto = sum(x <= v for x in ordered)
+            if upto * 32 // len(ordered) > (upto - ordered.count(v)) * 32 // len(ordered) and upto < len(ordered):
+                cuts.add(v)
+        places.append([0 if v is None else sum(c < v for c in cuts) for v in values])
+    for r, a, b in zip(got, *places):  # the third axis by the curve itself: quantiles of numbers are Spark's own
+        assert r["curve"] in {index[a, b, c] for c in range(32)}
+    sizes = defaultdict(set)
+    inverse = {v: k for k, v in index.items()}
+    for r in got:
+        sizes[inverse[r["curve"]][2]].add(r["size"])
+    spans = [(min(v), max(v)) for _, v in sorted(sizes.items())]
+    assert all(x[1] < y[0] for x, y in zip(spans, spans[1:])) and len(spans) > 20
     small = sharding.shard(odd, 16).collect()
     assert len(small) == len(ODD) and len({(r["shard"], r["slot"]) for r in small}) == len(ODD) and {r["doc_id"]: r["size"] for r in small}[1] == 1
     assert sharding.shard(odd.limit(0)).count() == 0
 
 
+def test_shards_of_one_long_opening_a_hot_cell_and_one_id(spark):
+    rows = [(None if k % 3 else 7, f"https://a-common-opening/{'xyz'[k % 3]}", "en", "same text") for k in range(900)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, source string, lang string, text string"), 16).collect()
+    assert len({(r["shard"], r["slot"]) for r in got}) == 900 and len({(r["source"], r["curve"]) for r in got}) == 3 == len({r["curve"] for r in got})
+    counts = Counter(r["shard"] for r in got)
+    assert set(counts.values()) <= {56, 57} and all(r["slot"] < counts[r["shard"]] for r in got)
+
+
+def test_a_bare_table_of_nulls_shards(spark):
+    got = sharding.shard(spark.createDataFrame([(None, None, None, None)] * 40, "doc_id long, source string, lang string, text string"), 16).collect()
+    assert sorted(Counter(r["shard"] for r in got).values()) == [2] * 8 + [3] * 8
+
+
 # -- shared pieces
 
 

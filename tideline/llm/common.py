@@ -14,39 +14,91 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a fresh temporary one where the session sets none (tests)."""
+    """The folder in ``spark.checkpoint.dir``. A local session that sets none gets a fresh temporary one (tests); on a cluster
+    that would be one machine's own folder, so it is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tideline-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Paths of the stored tables that are still there, oldest first.
+_stored: list[str] = []
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors.
 
-    The table is deleted when the application's file system closes.
+    The table is deleted by ``release``, at the latest when the application's file system closes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    place, files = _file_system(spark, path)
+    files.deleteOnExit(place)
+    _stored.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made; nothing that reads them may run afterwards."""
+    for table in tables:
+        remove(table.sparkSession, table.stored_at)
 
 
-def ascii_lower(text: Column | str) -> Column:
-    """``text`` with only A-Z lower-cased. Spark's lower() would also change other alphabets.
+def remove(spark: SparkSession, path: str) -> None:
+    place, files = _file_system(spark, path)
+    files.delete(place, True)
+    if path in _stored:
+        _stored.remove(path)
 
-    The expression counts as nondeterministic, so it has to be projected before it is grouped by.
-    """
+
+def mark() -> int:
+    """A point to give to ``release_since``."""
+    return len(_stored)
+
+
+def release_since(spark: SparkSession, point: int, but: DataFrame | None = None) -> None:
+    """Delete every table stored after ``point``, except ``but``."""
+    for path in _stored[point:]:
+        if but is None or path != but.stored_at:
+            remove(spark, path)
+
+
+#: Stored bytes of an input for each partition of a shuffle of it, at most.
+PARTITION_BYTES = 256 << 20
+#: Sizes beyond this mean that Spark knows nothing.
+UNKNOWN = 1 << 57
+
+
+def partitions(spark: SparkSession, source: DataFrame | None = None) -> int:
+    """Shuffle partitions: the session's number, or more where the tables that ``source`` reads are too large for it."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if source is None:
+        return least
+    leaves = source._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return max(least, -(-sum(x for x in sizes if x < UNKNOWN) // PARTITION_BYTES))
+
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def ascii_lower(text: Column | str) -> Column:
+    """``text`` with only A-Z lower-cased. lower() would also change other alphabets, so it is used on ASCII texts alone, where
+    it is the same and quicker."""
     col = F.col(text) if isinstance(text, str) else text
-    return F.call_function("java_method", F.lit("com.google.common.base.Ascii"), F.lit("toLowerCase"), col)
+    return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, UPPER.lower()))
 
 
 def learns(doc_id: Column | str, modulus: int = 4, held: int = 2) -> Column:

@@ -32,7 +32,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     require(docs, id_col, text_col)
     spark = docs.sparkSession
-    n_parts = partitions(spark)
+    n_parts = partitions(spark, docs)
     rows = docs.select(F.col(id_col).alias("id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"))
     rows = rows.select("id", "norm", F.xxhash64("norm").alias("h"))
 

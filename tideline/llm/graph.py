@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 
 MOST_ROUNDS = 60
 
@@ -14,14 +14,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of ``edges`` (a, b).
 
     Each round maps edges to edges, never more than there were, so no group of neighbours is expanded into pairs; the
-    rounds grow with the logarithm of the largest component. Every round's edges are a table in the shared folder.
+    rounds grow with the logarithm of the largest component. A round's edges are a table in the shared folder, which
+    the next round's replaces.
     """
     a, b = edges.columns[:2]
     pairs = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     pairs = written(pairs, "edges")
     mark = _mark(pairs)
     for _ in range(MOST_ROUNDS):
-        pairs = written(_small_star(_large_star(pairs)), "edges")
+        last, pairs = pairs, written(_small_star(_large_star(pairs)), "edges")
+        release(last)
         before, mark = mark, _mark(pairs)
         if before == mark:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

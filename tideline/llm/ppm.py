@@ -223,7 +223,7 @@ def trie_part(pairs: tuple[np.ndarray, np.ndarray], keys: np.ndarray, n: np.ndar
 
 def by_part(rows: DataFrame) -> DataFrame:
     """``rows`` dealt by the two bytes before the symbol of ``key``, counts (without ``row``) first."""
-    dealt = rows.repartition(partitions(rows.sparkSession), F.shiftright("key", 8).bitwiseAND(0xFFFF))
+    dealt = rows.repartition(partitions(rows.sparkSession, rows), F.shiftright("key", 8).bitwiseAND(0xFFFF))
     return dealt.sortWithinPartitions(F.col("row").isNotNull())
 
 

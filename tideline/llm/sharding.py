@@ -1,22 +1,26 @@
 """Hilbert-curve sharding: quantise metadata, sort by curve index, cut the order into runs of equal counts.
 
-Every dimension is cut at its own quantiles (one pre-aggregated pass, ``CELLS - 1`` numbers a dimension reach the
-driver), the cell's index on the Hilbert curve comes from a table of ``CELLS ** 3`` entries, a fixed size, and the rows are
-range-partitioned and sorted by (index, id). A row's rank is its place in its partition plus the sizes of the partitions
-before it; shard and slot follow from the rank. No task holds more than its range: rows of one cell are told apart by id.
+Every dimension is cut at its own quantiles: numbers by ``percentile_approx``, other types by exact quantiles of their distinct
+values in order. The cell's index on the Hilbert curve comes from a table of ``CELLS ** 3`` entries, a fixed size.
+
+Statistics are taken of a narrow table (ids and dimensions, no text). Rows are counted by curve index, and the curve is cut into
+runs, one or two for each shuffle partition; an index with more rows than that is cut further by a hash. A row's
+run follows from its own columns, so texts are shuffled once, each run to its own task; the rank of a row is its place in its run
+plus the rows of the runs before it, and shard and slot follow from the rank.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, require, written
+from .common import partitions, release, require, written
 
 BITS = 5
 CELLS = 1 << BITS
-LEAD_BYTES = 6
 
 
 def hilbert_index(coords: np.ndarray, bits: int) -> np.ndarray:
@@ -63,15 +67,79 @@ def curve_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, int(x)) for i, x in enumerate(index)], "cell int, curve int")
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """A column's order as a double: numbers as they are, the rest by their first bytes; null sorts first."""
+def is_number(df: DataFrame, name: str) -> bool:
     kind = dict(df.dtypes)[name]
-    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
-        value = F.col(name).cast("double")
-    else:
-        lead = F.rpad(F.substring(F.col(name).cast("string").cast("binary"), 1, LEAD_BYTES), LEAD_BYTES, F.lit(b"\0"))
-        value = F.conv(F.hex(lead), 16, 10).cast("double")
-    return F.coalesce(value, F.lit(-1.0))
+    return kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")
+
+
+def value_of(df: DataFrame, name: str) -> Column:
+    """A column as it is ordered: numbers as doubles, the rest as strings by their bytes."""
+    return F.col(name).cast("double" if is_number(df, name) else "string")
+
+
+def string_cuts(narrow: DataFrame, name: str) -> list[str]:
+    """The values at the marks k / CELLS of all rows in order of a string column, null left out: at most CELLS - 1 values.
+
+    Distinct values are counted, range-partitioned and given running counts in each part, so neither the distinct values nor
+    one value's rows come to one task.
+    """
+    spark = narrow.sparkSession
+    counted = narrow.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).agg(F.count("*").alias("n"))
+    ordered = written(counted.repartitionByRange(partitions(spark), "v").withColumn("part", F.spark_partition_id()), "shard-values")
+    sizes = {r["part"]: r["n"] for r in ordered.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    total, before, starts = sum(sizes.values()), 0, []
+    for part in sorted(sizes):
+        starts.append((part, before))
+        before += sizes[part]
+    if not total:
+        return []
+    offsets = spark.createDataFrame(starts, "part int, before long")  # a row for each partition
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    spans = ordered.join(F.broadcast(offsets), "part").withColumn("upto", upto)
+    first = lambda x: F.floor(x * CELLS / total)
+    found = spans.where(first(F.col("upto")) > first(F.col("upto") - F.col("n"))).select("v", "upto").collect()
+    release(ordered)
+    return sorted(r["v"] for r in found if r["upto"] < total)
+
+
+def cuts_of(narrow: DataFrame, dims: tuple[str, ...]) -> list[list]:
+    numbers = [d for d in dims if is_number(narrow, d)]
+    marks = [k / CELLS for k in range(1, CELLS)]
+    found = narrow.agg(*(F.percentile_approx(value_of(narrow, d), marks, 10_000).alias(f"q{k}") for k, d in enumerate(numbers)), F.count("*").alias("n")).first()
+    quantiles = {d: sorted(set(found[f"q{k}"] or [])) for k, d in enumerate(numbers)}
+    return [quantiles[d] if d in quantiles else string_cuts(narrow, d) for d in dims]
+
+
+def below(edges: Column, value: Column) -> Column:
+    """How many of ``edges`` are less than the value."""
+    return F.size(F.filter(edges, lambda e: e < value))
+
+
+@dataclass
+class Layout:
+    """How the curve is cut: ``curves`` (curve, cuts, run) and the rows before each run; ``total`` rows."""
+
+    curves: list[tuple[int, int, int]]
+    before: list[int]
+    total: int
+
+
+def layout(counts: dict[int, int], within: dict[tuple[int, int], int], hot: dict[int, int], bound: int) -> Layout:
+    """Runs of at most ``bound`` rows in curve order. ``counts``: rows of each index; ``hot``: into how many runs an index is
+    cut, of ``within`` rows each."""
+    curves, before, at = [], [0], 0
+    for curve, n in sorted(counts.items()):
+        alone = curve in hot
+        if at > before[-1] and (alone or at - before[-1] + n > bound):
+            before.append(at)
+        curves.append((curve, hot.get(curve, 1), len(before) - 1))
+        if not alone:
+            at += n
+            continue
+        for k in range(hot[curve]):
+            at += within.get((curve, k), 0)
+            before.append(at)
+    return Layout(curves, before, at)
 
 
 def shard(
@@ -80,41 +148,57 @@ def shard(
 ) -> DataFrame:
     """``docs`` with curve, size, shard and slot columns; law ``rows``: shard counts differ by one at most.
 
-    ``size`` is the UTF-8 length of the text plus 1 (null: 1); with no ``text_col``, ``docs`` brings it. Ranks order by (curve index, id); rows with one id twice
-    get different slots. Columns of ``docs`` named size, curve, shard or slot are replaced. Null metadata sorts first. An
-    empty table gives an empty result.
+    ``size`` is the UTF-8 length of the text plus 1 (null: 1); with no ``text_col``, ``docs`` brings it. Ranks order by curve
+    index, then id (null first; within an index of very many rows by a hash of id and dimensions first), then a hash of all
+    columns; rows with one id, or none, get different slots. Columns of ``docs`` named size, curve, shard or slot are replaced;
+    names that start with two underscores are reserved. Null metadata sorts first. An empty table gives an empty result. Rows
+    come out in files that are runs of the curve.
     """
     require(docs, id_col, text_col or "size", *(d for d in dims if d != "size"))
     spark = docs.sparkSession
     base = docs.drop("curve", "shard", "slot")
     if text_col:
         base = base.withColumn("size", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1)
-    numbers = [as_number(base, d) for d in dims]
-    marks = [k / CELLS for k in range(1, CELLS)]
-    cuts = base.agg(*(F.percentile_approx(x, marks, 10_000).alias(f"q{k}") for k, x in enumerate(numbers))).first()
-
-    cell = F.lit(0)
-    for k, number in enumerate(numbers):
-        edges = F.array(*(F.lit(float(c)) for c in sorted(set(cuts[k] or [0.0]))))
-        cell = cell * CELLS + F.size(F.filter(edges, lambda e, number=number: e < number))
-    placed = base.withColumn("__cell", cell.cast("int")).join(F.broadcast(curve_table(spark)).withColumnRenamed("cell", "__cell"), "__cell").drop("__cell")
-    ordered = placed.repartitionByRange(partitions(spark), "curve", id_col).sortWithinPartitions("curve", id_col)
-    # In the high bits the partition, in the low 33 bits the place in it; stored, as a range partitioning is sampled anew when it is run again.
-    ordered = written(ordered.withColumn("__at", F.monotonically_increasing_id()), "shard-order")
-    sizes = ordered.groupBy(F.shiftright("__at", 33).cast("int").alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
-    before, offsets = 0, []
-    for row in sizes:
-        offsets.append((row["part"], before))
-        before += row["n"]
-    total = before
-    starts = spark.createDataFrame(offsets, "__part int, __before long")
-    ranked = ordered.withColumn("__part", F.shiftright("__at", 33).cast("int")).join(F.broadcast(starts), "__part")
-    rank = F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)
-    first = F.expr(f"(__shard * {total} + {n_shards - 1}) div {n_shards}")
+    narrow = written(base.select(id_col, *dict.fromkeys(d for d in dims if d != id_col)), "shard-rows")
+    cuts = cuts_of(narrow, dims)
+
+    def cell(df: DataFrame) -> Column:
+        out = F.lit(0)
+        for name, edges in zip(dims, cuts, strict=True):
+            value = value_of(df, name)
+            kind = "double" if is_number(df, name) else "string"
+            place = below(F.array(*map(F.lit, edges)).cast(f"array<{kind}>"), value)
+            # 0 is for null, which sorts first; equal values have one place
+            out = out * CELLS + F.when(value.isNull(), 0).otherwise(place)
+        return out.cast("int")
+
+    at = narrow.withColumn("__cell", cell(narrow)).join(F.broadcast(curve_table(spark)).withColumnRenamed("cell", "__cell"), "__cell")
+    counts = {r["curve"]: r["n"] for r in at.groupBy("curve").agg(F.count("*").alias("n")).collect()}  # CELLS ** 3 rows at most
+    bound = max(1, -(-sum(counts.values()) // partitions(spark, docs)))
+    hot = {c: -(-n // bound) for c, n in counts.items() if n > bound}
+    deal = F.xxhash64(*dict.fromkeys([id_col, *dims]))
+    within: dict[tuple[int, int], int] = {}
+    if hot:  # at most total / bound of them, in 2 * total / bound pieces
+        shares = spark.createDataFrame(sorted(hot.items()), "curve int, k int")
+        pieces = at.join(F.broadcast(shares), "curve").groupBy("curve", F.pmod(deal, F.col("k")).cast("int").alias("piece")).agg(F.count("*").alias("n"))
+        within = {(r["curve"], r["piece"]): r["n"] for r in pieces.collect()}
+    release(narrow)
+    plan = layout(counts, within, hot, bound)
+
+    n_runs = len(plan.before)
+    runs = spark.createDataFrame(plan.curves, "curve int, __k int, __first int").join(F.broadcast(curve_table(spark)), "curve").withColumnRenamed("cell", "__cell")
+    starts = spark.createDataFrame(list(enumerate(plan.before)), "__run int, __before long")
+    row_hash = F.xxhash64(*(c for c, kind in base.dtypes if "map<" not in kind))
+    placed = base.withColumn("__cell", cell(base)).join(F.broadcast(runs), "__cell").withColumn("__run", (F.col("__first") + F.pmod(deal, F.col("__k"))).cast("int"))
+    dealt = placed.withColumn("__tie", row_hash).drop("__cell", "__k", "__first").repartitionById(max(1, n_runs), F.col("__run"))
+    place = F.row_number().over(Window.partitionBy("__run").orderBy("curve", F.col(id_col).asc_nulls_first(), "__tie"))
+    total = max(1, plan.total)
     return (
-        ranked.withColumn("__rank", rank)
-        .withColumn("__shard", F.expr(f"(__rank * {n_shards}) div {max(1, total)}"))
-        .withColumn("slot", F.col("__rank") - first)
+        dealt.withColumn("__place", place)
+        .join(F.broadcast(starts), "__run")
+        .withColumn("__rank", F.col("__before") + F.col("__place") - 1)
+        .withColumn("__shard", F.expr(f"(__rank * {n_shards}) div {total}"))
+        .withColumn("slot", F.col("__rank") - F.expr(f"(__shard * {total} + {n_shards - 1}) div {n_shards}"))
         .withColumn("shard", F.col("__shard").cast("int"))
-        .drop("__part", "__before", "__at", "__rank", "__shard")
+        .drop("__run", "__before", "__place", "__rank", "__shard", "__tie")
     )

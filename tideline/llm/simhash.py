@@ -205,7 +205,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         if held:
             yield flush(held)
 
-    rows = table_rows(nodes).repartition(partitions(spark), "key").sortWithinPartitions("key")
+    rows = table_rows(nodes).repartition(partitions(spark, nodes), "key").sortWithinPartitions("key")
     return rows.mapInArrow(scan, "a long, b long")
 
 

@@ -268,7 +268,7 @@ def classes(found: DataFrame, length: int) -> DataFrame:
         if held:
             yield flush(False)
 
-    dealt = found.repartition(partitions(found.sparkSession), "h").sortWithinPartitions("h", "c", "doc", "lo")
+    dealt = found.repartition(partitions(found.sparkSession, found), "h").sortWithinPartitions("h", "c", "doc", "lo")
     return dealt.mapInArrow(scan, "doc long, lo int, hi int, h long, part int, split boolean")
 
 
@@ -307,7 +307,7 @@ def compared(segments: DataFrame, length: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    dealt = segments.repartition(partitions(segments.sparkSession), "h", "part").sortWithinPartitions("h", "part")
+    dealt = segments.repartition(partitions(segments.sparkSession, segments), "h", "part").sortWithinPartitions("h", "part")
     return dealt.mapInArrow(scan, "doc long, lo long, hi long, key binary")
 
 
@@ -349,7 +349,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         raise ValueError(f"length must be over {GRAM}")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     marks = written(classes(occurrences(texts, length), length), "repeat-marks")
-    dealt = texts.repartition(partitions(docs.sparkSession), "id")  # one shuffle of the texts serves both joins
+    dealt = texts.repartition(partitions(docs.sparkSession, texts), "id")  # one shuffle of the texts serves both joins
     found = written(compared(segments_of(dealt, marks, length), length), "repeat-spans")
     still = found.where(F.col("key").isNotNull())
     least = still.groupBy("key").agg(F.min(F.struct("doc", "lo")).alias("first"))
