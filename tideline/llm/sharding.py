@@ -4,7 +4,7 @@ Every dimension is cut at its own quantiles: numbers by ``percentile_approx``, o
 values in order. The cell's index on the Hilbert curve comes from a table of ``CELLS ** 3`` entries, a fixed size.
 
 Statistics are taken of a narrow table (ids and dimensions, no text). Rows are counted by curve index, and the curve is cut into
-runs, one or two for each shuffle partition; an index with more rows than that is cut further by a hash. A row's
+runs of about equal weight in rows and bytes, one or two for each shuffle partition; an index beyond that is cut further by a hash. A row's
 run follows from its own columns, so texts are shuffled once, each run to its own task; the rank of a row is its place in its run
 plus the rows of the runs before it, and shard and slot follow from the rank.
 """
@@ -12,6 +12,7 @@ plus the rows of the runs before it, and shard and slot follow from the rank.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -124,17 +125,18 @@ class Layout:
     total: int
 
 
-def layout(counts: dict[int, int], within: dict[tuple[int, int], int], hot: dict[int, int], bound: int) -> Layout:
-    """Runs of at most ``bound`` rows in curve order. ``counts``: rows of each index; ``hot``: into how many runs an index is
-    cut, of ``within`` rows each."""
-    curves, before, at = [], [0], 0
-    for curve, n in sorted(counts.items()):
+def layout(counts: dict[int, tuple[int, float]], within: dict[tuple[int, int], int], hot: dict[int, int], bound: float) -> Layout:
+    """Runs of a weight of at most ``bound`` in curve order. ``counts``: rows and weight of each index; ``hot``: into how many
+    runs an index is cut, of ``within`` rows each."""
+    curves, before, at, filled = [], [0], 0, 0.0
+    for curve, (n, weight) in sorted(counts.items()):
         alone = curve in hot
-        if at > before[-1] and (alone or at - before[-1] + n > bound):
+        if at > before[-1] and (alone or filled + weight > bound):
             before.append(at)
+            filled = 0.0
         curves.append((curve, hot.get(curve, 1), len(before) - 1))
         if not alone:
-            at += n
+            at, filled = at + n, filled + weight
             continue
         for k in range(hot[curve]):
             at += within.get((curve, k), 0)
@@ -159,7 +161,7 @@ def shard(
     base = docs.drop("curve", "shard", "slot")
     if text_col:
         base = base.withColumn("size", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1)
-    narrow = written(base.select(id_col, *dict.fromkeys(d for d in dims if d != id_col)), "shard-rows")
+    narrow = written(base.select(id_col, *dict.fromkeys(d for d in (*dims, "size") if d != id_col)), "shard-rows")
     cuts = cuts_of(narrow, dims)
 
     def cell(df: DataFrame) -> Column:
@@ -173,12 +175,14 @@ def shard(
         return out.cast("int")
 
     at = narrow.withColumn("__cell", cell(narrow)).join(F.broadcast(curve_table(spark)).withColumnRenamed("cell", "__cell"), "__cell")
-    counts = {r["curve"]: r["n"] for r in at.groupBy("curve").agg(F.count("*").alias("n")).collect()}  # CELLS ** 3 rows at most
-    bound = max(1, -(-sum(counts.values()) // partitions(spark, docs)))
-    hot = {c: -(-n // bound) for c, n in counts.items() if n > bound}
+    found = at.groupBy("curve").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()  # CELLS ** 3 rows at most
+    rows, size = (max(1, sum(r[x] or 0 for r in found)) for x in ("n", "size"))
+    counts = {r["curve"]: (r["n"], r["n"] / rows + (r["size"] or 0) / size) for r in found}
+    bound = 2 / partitions(spark, docs)
+    hot = {c: min(n, ceil(w / bound)) for c, (n, w) in counts.items() if w > bound and n > 1}
     deal = F.xxhash64(*dict.fromkeys([id_col, *dims]))
     within: dict[tuple[int, int], int] = {}
-    if hot:  # at most total / bound of them, in 2 * total / bound pieces
+    if hot:  # of a weight of 2 in all, so at most 2 / bound of them in 4 / bound pieces
         shares = spark.createDataFrame(sorted(hot.items()), "curve int, k int")
         pieces = at.join(F.broadcast(shares), "curve").groupBy("curve", F.pmod(deal, F.col("k")).cast("int").alias("piece")).agg(F.count("*").alias("n"))
         within = {(r["curve"], r["piece"]): r["n"] for r in pieces.collect()}
