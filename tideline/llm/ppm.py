@@ -3,14 +3,16 @@
 Training gathers two kinds of counts over all admitted texts in one pass: (``ORDER`` + 1)-byte strings, and words. Counts are
 combined in each task before they are shuffled and are stored as a table in the shared folder.
 
-The byte-context trie holds the strings of every length up to ORDER + 1, whatever their counts. An escape weighs as much as the
-context's distinct symbols; after an escape the symbols that the longer context knows are excluded. The trie is pretrained and
+The byte-context trie holds the strings of every length up to ORDER + 1, whatever their counts. A symbol weighs its count less
+one half, an escape one half for each of the context's distinct symbols; after an escape the symbols that the longer context knows
+are excluded. The trie is pretrained and
 fixed, so all that an exclusion needs depends on the longer context alone and is computed when the trie is built; what a byte
 costs depends on its (ORDER + 1)-byte string alone, and a text's code length is a sum of look-ups.
 
 No task holds the whole trie. All of it that strings with the same two bytes before their symbol need are those strings and the
 two-byte ones (at most 65,536, sent to every task), so counts are dealt by these two bytes and each task builds its part, which
-is exact. Strings that make up at least ``SHARE`` of the training bytes, at most 1 / SHARE of them, are scored there once, and
+is exact. Where two bytes have very many strings, these are dealt by three bytes, or four, or five, and the strings that end in
+the shorter contexts (256 at most for each context that is so split) are sent to every task as well. Strings that make up at least ``SHARE`` of the training bytes, at most 1 / SHARE of them, are scored there once, and
 their logarithms broadcast; every other string of a text goes by a shuffle to its part of the trie.
 
 The baseline needs the count of every word, and there is no bound on words. Frequent words (at least 1 / ``FREQUENT`` of the
@@ -25,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
@@ -37,7 +39,11 @@ SHARE = 5e-7
 FREQUENT = 1_000_000
 #: The word key of the end of a text.
 END = 0
-HELD_KEYS = 3_000_000
+HELD_KEYS = 2_000_000
+#: Strings of a part, where their number is at least that and a part's fair share.
+LEAST_PART = 1 << 16
+#: What a zero byte of a text counts as, since zero is the end's: a byte that no UTF-8 text holds.
+ZERO = 255
 NO_KEY = np.uint64((1 << 64) - 1)
 WORDS, BYTES = 0, 1
 
@@ -101,17 +107,17 @@ class Trie:
         last = None
         for keys, n in counts:
             order = np.argsort(keys)
-            keys, n = keys[order].astype(np.uint64), n[order].astype(np.float64)
+            keys, n = keys[order].astype(np.uint64), n[order] - 0.5
             ctx, first = np.unique(keys >> np.uint64(8), return_index=True)
             total = np.add.reduceat(n, first) if len(n) else n
             distinct = np.diff(np.append(first, len(keys))).astype(np.float64)
-            unseen = distinct  # the weight of an escape
+            unseen = distinct / 2  # the weight of an escape
             below, escape_below = np.zeros(len(ctx)), np.zeros(len(ctx))
             if last is not None and len(ctx):
                 bits = np.uint64((1 << 8 * len(self.levels)) - 1)
                 shared = last[1][np.searchsorted(last[0], keys & bits)]  # the shorter context's counts of the same symbols
                 up = np.searchsorted(last[2], ctx & (bits >> np.uint64(8)))
-                left, escape = last[3][up] - np.add.reduceat(shared, first), last[4][up] - distinct
+                left, escape = np.maximum(0, last[3][up] - np.add.reduceat(shared, first)), last[4][up]
                 some = escape > 0
                 below[some] = np.log10(left[some] + escape[some])
                 escape_below[some] = np.log10(escape[some] / (left[some] + escape[some]))
@@ -150,6 +156,7 @@ def coded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     end = first + np.diff(offsets) + 1
     out = np.zeros(len(data) + (ORDER + 1) * n + ORDER, np.uint8)
     low = T.LOWER[data]
+    low[low == 0] = ZERO
     for a, b, s in zip(offsets[:-1].tolist(), offsets[1:].tolist(), first.tolist(), strict=True):
         out[s : s + b - a] = low[a:b]
     keys = T.byte_ngrams(out, ORDER + 1)
@@ -200,9 +207,26 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
     return found.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
+@dataclass
+class Split:
+    """Contexts of 2, 3 and 4 bytes whose strings are dealt by a longer context, and all strings that end in them."""
+
+    contexts: list[np.ndarray]
+    strings: list[tuple[np.ndarray, np.ndarray]]
+
+    def depth(self, keys: np.ndarray) -> np.ndarray:
+        """How many bytes before its symbol each key is dealt by."""
+        out = np.full(len(keys), 2)
+        for k, contexts in enumerate(self.contexts, 2):
+            inside = (keys >> np.uint64(8)) & np.uint64((1 << 8 * k) - 1)
+            out += (out == k) & np.isin(inside, contexts)
+        return out
+
+
 @dataclass
 class Scorer:
     pairs: tuple[np.ndarray, np.ndarray]  # keys and counts of two-byte strings
+    split: Split
     strings: Table  # the frequent ones of ORDER + 1 bytes
     string_logs: np.ndarray
     words: Table
@@ -216,18 +240,44 @@ def suffixes(keys: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray,
     return merged([(keys & np.uint64((1 << 8 * length) - 1), n)])
 
 
-def trie_part(pairs: tuple[np.ndarray, np.ndarray], keys: np.ndarray, n: np.ndarray) -> Trie:
-    """The trie over ``pairs`` and all strings of some pairs of bytes before the symbol, for keys with these."""
-    return Trie([suffixes(*pairs, 1), pairs, *(suffixes(keys, n, k + 1) for k in range(2, ORDER + 1))])
-
-
-def by_part(rows: DataFrame) -> DataFrame:
-    """``rows`` dealt by the two bytes before the symbol of ``key``, counts (without ``row``) first."""
-    dealt = rows.repartition(partitions(rows.sparkSession, rows), F.shiftright("key", 8).bitwiseAND(0xFFFF))
+def context(length: int) -> Column:
+    return F.shiftright("key", 8).bitwiseAND((1 << 8 * length) - 1)
+
+
+def split_of(strings: DataFrame, total: int) -> Split:
+    """What has to be split of ``total`` strings (key, n): a bounded number of contexts, as each has more than a part's share."""
+    most = max(LEAST_PART, -(-total // (4 * partitions(strings.sparkSession))))
+    found, ends, rows = [], [], strings
+    for k in (2, 3, 4):
+        large = [] if rows is None else rows.groupBy(context(k).alias("c")).agg(F.count("*").alias("n")).where(F.col("n") > most).select("c").collect()
+        found.append(np.sort(np.array([r["c"] for r in large], np.uint64)))
+        rows = None if not large else rows.where(context(k).isin([r["c"] for r in large]))
+        last = rows and rows.groupBy(F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+        ends.append((last.column("key").to_numpy().astype(np.uint64), last.column("n").to_numpy().astype(np.int64)) if last else (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    return Split(found, ends)
+
+
+def trie_part(pairs: tuple[np.ndarray, np.ndarray], split: Split, keys: np.ndarray, n: np.ndarray) -> Trie:
+    """The trie over ``pairs``, ``split`` and all strings of some parts, for keys of these parts."""
+    depth, counts = split.depth(keys), [suffixes(*pairs, 1), pairs]
+    for k in range(2, ORDER + 1):
+        own, more = depth <= k, split.strings[k - 2] if k < ORDER else (keys[:0], n[:0])
+        found = suffixes(keys[own], n[own], k + 1)
+        counts.append((np.concatenate([found[0], more[0]]), np.concatenate([found[1], more[1]])))
+    return Trie(counts)
+
+
+def by_part(rows: DataFrame, split: Split) -> DataFrame:
+    """``rows`` dealt by the bytes before the symbol of ``key``, two or as many as ``split`` says, counts (without ``row``) first."""
+    part = context(5)
+    for k in (4, 3, 2):
+        large = split.contexts[k - 2].astype(np.int64).tolist()
+        part = F.when(context(k).isin(large), part).otherwise(context(k)) if large else context(k)
+    dealt = rows.repartition(partitions(rows.sparkSession, rows), part)
     return dealt.sortWithinPartitions(F.col("row").isNotNull())
 
 
-def string_scores(counts: DataFrame, asked: DataFrame | None, pairs: Broadcast, least: int) -> DataFrame:
+def string_scores(counts: DataFrame, asked: DataFrame | None, shared: Broadcast, split: Split, least: int) -> DataFrame:
     """(row, score): sums over ``asked`` (row, key, n) by the trie of all strings in ``counts``; without ``asked`` (key, score)
     of each string counted ``least`` times or more."""
     themselves = asked is None
@@ -242,18 +292,18 @@ def string_scores(counts: DataFrame, asked: DataFrame | None, pairs: Broadcast,
             if known.all():
                 continue
             if trie is None:
-                trie, held = trie_part(pairs.value, *(np.concatenate(x) for x in zip(*held, strict=True))), []
+                trie, held = trie_part(*shared.value, *(np.concatenate(x) for x in zip(*held, strict=True))), []
             rows, at = np.unique(batch.column(0).drop_null().to_numpy(), return_inverse=True)
             logs = trie.log_probability(key[~known]) * n[~known]
             yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(at, logs, minlength=len(rows)))], names=["row", "score"])
         if themselves and len(held) > 1:
             keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
             often = keys[n >= least]
-            logs = trie_part(pairs.value, keys, n).log_probability(often) if len(often) else np.zeros(0)
+            logs = trie_part(*shared.value, keys, n).log_probability(often) if len(often) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([pa.array(often.view(np.int64)), pa.array(logs)], names=["row", "score"])
 
     rows = counts.where(F.col("kind") == BYTES).select(F.lit(None).cast("long").alias("row"), "key", "n")
-    return by_part(rows if themselves else rows.unionByName(asked)).mapInArrow(scan, "row long, score double")
+    return by_part(rows if themselves else rows.unionByName(asked), split).mapInArrow(scan, "row long, score double")
 
 
 def fit(counts: DataFrame) -> Scorer:
@@ -264,11 +314,12 @@ def fit(counts: DataFrame) -> Scorer:
     least = max(1, int(np.ceil(SHARE * size)))
     short = counts.where(F.col("kind") == BYTES).groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(F.sum("n").alias("n")).toArrow()
     pairs = (short.column("key").to_numpy().astype(np.uint64), short.column("n").to_numpy().astype(np.int64))
-    frequent = string_scores(counts, None, counts.sparkSession.sparkContext.broadcast(pairs), least).toArrow()
+    split = split_of(counts.where(F.col("kind") == BYTES).select("key", "n"), totals.get(BYTES, (0, 0))[1])
+    frequent = string_scores(counts, None, counts.sparkSession.sparkContext.broadcast((pairs, split)), split, least).toArrow()
     strings = Table(frequent.column("row").to_numpy().astype(np.int64).view(np.uint64))
     often = counts.where((F.col("kind") == WORDS) & (F.col("n") >= max(2, -(-tokens // FREQUENT)))).select("key", "n").toArrow()
     return Scorer(
-        pairs, strings, frequent.column("score").to_numpy(), Table(often.column("key").to_numpy().view(np.uint64)), often.column("n").to_numpy(), tokens, distinct
+        pairs, split, strings, frequent.column("score").to_numpy(), Table(often.column("key").to_numpy().view(np.uint64)), often.column("n").to_numpy(), tokens, distinct
     )
 
 
@@ -308,7 +359,7 @@ def lm_scores(docs: DataFrame, counts: DataFrame, model: Scorer, id_col: str = "
     """For every row: id, n_tokens, n_known, train_tokens, base_score, score.
 
     ``score`` is the trie's log10 probability of the lower-cased text and its end, ``base_score`` the unigram baseline's of
-    its words and its end. Null counts as empty: its end alone is scored. Rows with one id keep a row each. With nothing
+    its words and its end. A zero byte counts as byte 255. Words are told apart by 64-bit hashes. Null counts as empty: its end alone is scored. Rows with one id keep a row each. With nothing
     learned every byte has probability 1 / 256. An empty table gives an empty result.
     """
     require(docs, id_col, text_col)
@@ -344,7 +395,7 @@ def lm_scores(docs: DataFrame, counts: DataFrame, model: Scorer, id_col: str = "
         "row", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("long").alias("n_tokens"), F.col("n_tokens").alias("n_known"), (F.col("n_tokens") * F.log10(c + 1)).alias("base"), F.lit(None).cast("double").alias("score"),
     )
     asked = scored.where(F.col("kind") == BYTES).select("row", "key", F.col("n_tokens").alias("n"))
-    strings = string_scores(counts, asked, docs.sparkSession.sparkContext.broadcast(model.pairs), 0)
+    strings = string_scores(counts, asked, docs.sparkSession.sparkContext.broadcast((model.pairs, model.split)), model.split, 0)
     per_row = scored.where(F.col("kind").isNull()).drop("kind", "key").unionByName(found).unionByName(strings, True).groupBy("row").agg(
         F.max("id").alias("id"), *(F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")),
     )
