@@ -5,6 +5,10 @@ segment differs in at most 2. Every fingerprint is stored in its segments' table
 radius 1 around the segment (33 points) and looked up under the same points, so two segments meet exactly if their balls do,
 that is at 2 bits or fewer; complete distances are then verified. That is 66 short rows for each *distinct* fingerprint.
 
+Segments that very many fingerprints share would make entries that no task can hold. They are found by counting; the entries in
+their balls are cut by the other segment: two fingerprints at 4 bits or fewer agree in one of five pieces of it, so each row goes
+to five parts of its entry.
+
 The rows of one table entry come sorted and are read as a stream. A small entry is compared pair by pair. In a larger one
 links are found by a search that leaves out what is linked already and returns the edges of a spanning tree, so a dense
 group gives as many edges as members, not as many as pairs.
@@ -12,22 +16,23 @@ group gives as many edges as members, not as many as pairs.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, require, written
 from .graph import connected_components
-from .near_copies import one_of_each  # noqa: F401 (where it was before)
 
 RADIUS = 4
 SMALL = 16
 CHUNK = 1 << 20
+GAP = re.compile(rb"[ \t-\r]")
 
 
 def word_runs(text: bytes, overlap: int) -> Iterator[list[bytes]]:
@@ -36,18 +41,15 @@ def word_runs(text: bytes, overlap: int) -> Iterator[list[bytes]]:
         yield text.split()
         return
     kept: list[bytes] = []
-    tail = b""
-    for at in range(0, len(text), CHUNK):
-        part = tail + text[at : at + CHUNK]
-        words = part.split()
-        tail = b""
-        if at + CHUNK < len(text) and words and not part[-1:].isspace():
-            tail = words.pop()
+    at = 0
+    while at < len(text):
+        end = GAP.search(text, at + CHUNK)  # a run ends where a word ends, however long the word
+        upto = end.start() if end else len(text)
+        words = text[at:upto].split()
         if words:
             yield kept + words
             kept = (kept + words)[-overlap:] if overlap else []
-    if tail:
-        yield kept + [tail]
+        at = upto
 
 
 @dataclass(frozen=True)
@@ -114,14 +116,39 @@ def fingerprints(docs: DataFrame, specs: tuple[Spec, ...] = (Spec(),), id_col: s
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(scan, schema)
 
 
-def table_rows(nodes: DataFrame) -> DataFrame:
-    """(key, fp, rep): each segment's ball; a key holds the segment's number above its 32 bits."""
+#: Pieces of the other segment (first bit, bits): one more than the bits that may differ.
+PIECES = ((0, 7), (7, 7), (14, 6), (20, 6), (26, 6))
+#: Rows of one segment beyond which its entries are cut.
+LARGE = 1 << 13
+
+
+def segment_of(number: int) -> Column:
+    return F.col("fp").bitwiseAND(0xFFFFFFFF) if number == 0 else F.shiftrightunsigned("fp", 32)
+
+
+def ball(masks: Column, number: int) -> Column:
+    return F.transform(masks, lambda m: segment_of(number).bitwiseXOR(m).bitwiseOR(number << 32))
+
+
+def table_rows(nodes: DataFrame, large: int = LARGE) -> DataFrame:
+    """(key, fp, rep): each segment's ball; a key holds a point's 32 bits, above them the segment's number, and in a cut entry
+    the number of the piece from 1 on and its value."""
     masks = F.array(*(F.lit(m) for m in [0, *(1 << i for i in range(32))]))
-    keys = F.concat(
-        F.transform(masks, lambda m: F.col("fp").bitwiseAND(0xFFFFFFFF).bitwiseXOR(m)),
-        F.transform(masks, lambda m: F.shiftrightunsigned("fp", 32).bitwiseXOR(m).bitwiseOR(1 << 32)),
-    )
-    return nodes.select(F.explode(keys).alias("key"), "fp", "rep")
+    parts = []
+    for number in (0, 1):
+        parts.append(ball(masks, number))
+    rows = nodes.select(F.explode(F.concat(*parts)).alias("key"), "fp", "rep")
+    total = nodes.count()
+    bound = max(large, -(-total // (4 * partitions(nodes.sparkSession))))
+    if total <= bound:
+        return rows
+    segments = nodes.select(F.explode(F.array(*(segment_of(k).bitwiseOR(k << 32) for k in (0, 1)))).alias("s"))
+    # at most 2 * total / bound segments, with a ball of 33 points each
+    hot = segments.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > bound).select(F.explode(F.transform(masks, lambda m: F.col("s").bitwiseXOR(m))).alias("key")).distinct()
+    other = F.when(F.shiftright("key", 32) == 0, segment_of(1)).otherwise(segment_of(0))
+    pieces = F.array(*(F.shiftleft(F.shiftright(other, at).bitwiseAND((1 << bits) - 1), 36).bitwiseOR((k + 1) << 33) for k, (at, bits) in enumerate(PIECES)))
+    marked = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "key", "left")
+    return marked.select(F.explode(F.when(F.col("hot"), F.transform(pieces, lambda p: F.col("key").bitwiseOR(p))).otherwise(F.array("key"))).alias("key"), "fp", "rep")
 
 
 def near(fps: np.ndarray, one: np.uint64, radius: int) -> np.ndarray:
@@ -151,7 +178,7 @@ def entry_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int) -
     cuts = np.flatnonzero(np.diff(key)) + 1
     starts = np.concatenate([[0], cuts])
     sizes = np.diff(np.concatenate([starts, [len(key)]]))
-    half = np.where(key >> 32 == 1, fp >> np.uint64(32), fp & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    half = np.where((key >> 32) & 1 == 1, fp >> np.uint64(32), fp & np.uint64(0xFFFFFFFF)).astype(np.int64)
     point = key & 0xFFFFFFFF
     a_all, b_all = [], []
     for size in range(2, SMALL + 1):
@@ -178,7 +205,7 @@ def entry_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int) -
     return pairs[:, 0], pairs[:, 1]
 
 
-def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, large: int = LARGE) -> DataFrame:
     """(a, b): enough links between distinct fingerprints (fp, rep) to connect all that are within ``radius``."""
     if radius > 4:
         raise ValueError("two segments with balls of radius 1 reach 4 bits")
@@ -205,7 +232,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         if held:
             yield flush(held)
 
-    rows = table_rows(nodes).repartition(partitions(spark, nodes), "key").sortWithinPartitions("key")
+    rows = table_rows(nodes, large).repartition(partitions(spark, nodes), "key").sortWithinPartitions("key")
     return rows.mapInArrow(scan, "a long, b long")
 
 
