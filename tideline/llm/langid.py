@@ -7,7 +7,6 @@ scoring gathers weights and needs no feature table; each task scores its own row
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -35,7 +34,6 @@ FAMILIES = {
     "indic": "hi bn ur mr ne pa gu",
 }
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs.split()}
-LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -128,7 +126,7 @@ def fit(docs: DataFrame, per_lang: int = 400, max_bytes: int = 20_000, id_col: s
 def predict_languages(docs: DataFrame, model: Languages, text_col: str = "text") -> DataFrame:
     """``docs`` without the text, with lang_pred and score; columns of these names are replaced.
 
-    A text that is null or has no letter is ``und`` with score 0; so is every text if nothing was learned. Equal texts get
+    A text that is null or has no letter (Unicode category L) is ``und`` with score 0; so is every text if nothing was learned. Equal texts get
     equal results; rows with one id keep a row each; an empty table gives an empty result.
     """
     require(docs, text_col)
@@ -141,7 +139,7 @@ def predict_languages(docs: DataFrame, model: Languages, text_col: str = "text")
             column = batch.column(len(keep))
             names, scores = [], []
             for at, n, data, offsets in T.blocks(column):
-                letters = [LETTER.search(column[at + k].as_py() or "") is not None for k in range(n)]
+                letters = [any(map(str.isalpha, column[at + k].as_py() or "")) for k in range(n)]
                 if not found.langs:
                     names += ["und"] * n
                     scores += [0.0] * n
