@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textops as T
 from .common import require
@@ -128,7 +129,7 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, threshold: float,
     blocks = max(1, -(-size // BLOCK_BYTES))
     for k in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == k).collect()
-        yield items.sparkSession.sparkContext.broadcast(sketch(sorted((r["id"], bytes(r["t"] or b"")) for r in part), threshold, n))
+        yield items.sparkSession.sparkContext.broadcast(sketch(sorted(((r["id"], bytes(r["t"] or b"")) for r in part), key=lambda x: (x[0] is None, x[0] if x[0] is not None else 0, x[1])), threshold, n))
 
 
 def contamination(
@@ -138,12 +139,14 @@ def contamination(
     """A row for each (document row, item row) with containment >= threshold: ids, n_shared, n_item, containment.
 
     Null and empty texts, and texts under ``n`` words, have no shingle: they contain nothing and are contained in nothing.
-    Repeated rows give repeated results. An empty table on either side gives an empty result.
+    Repeated rows give repeated results; null ids on either side come back as null. An empty table on either side gives an empty
+    result. Columns other than the two of each side are ignored.
     """
     require(docs, id_col, text_col)
     names = [id_col, item_col, "n_shared", "n_item", "containment"]
     kinds = [docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()]
     ddl = f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}, n_shared long, n_item long, containment double"
+    item_type = to_arrow_type(items.schema[item_col].dataType)
     source = docs.select(id_col, F.col(text_col).cast("binary").alias("__text"))
     parts = []
     for shared in item_blocks(items, item_col, item_text_col, threshold, n):
@@ -157,7 +160,7 @@ def contamination(
                         size = [len(found.sets[i]) for _, i, _ in hits]
                         yield pa.RecordBatch.from_arrays(
                             [
-                                batch.column(0).take(pa.array([at + r for r, _, _ in hits])), pa.array([found.ids[i] for _, i, _ in hits]),
+                                batch.column(0).take(pa.array([at + r for r, _, _ in hits])), pa.array([found.ids[i] for _, i, _ in hits], item_type),
                                 pa.array([s for _, _, s in hits]), pa.array(size), pa.array([s / q for (_, _, s), q in zip(hits, size, strict=True)]),
                             ],
                             names=names,
@@ -173,7 +176,8 @@ def contamination(
 def decontaminate(
     docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
-    """The rows of ``docs`` that contain no item, all columns kept, without a shuffle."""
+    """The rows of ``docs`` that contain no item, all columns kept, without a shuffle. Null texts contain nothing; rows with equal
+    or null ids are judged each by itself; an empty table comes back empty, and with no items every row stays."""
     require(docs, text_col)
     at_col = docs.columns.index(text_col)
     for shared in item_blocks(items, item_col, item_text_col, threshold, n):
