@@ -6,11 +6,12 @@ expected domain shares of the tokens, sum of r * tokens * posterior, and b the t
 r = 1, each in the metric of the token-weighted Gram matrix of the posteriors of the documents whose rate is not at zero; there
 a document's move is the inner product of its posterior with a vector of one number a domain. So a step is one aggregation to
 K * (K + 3) / 2 numbers, and the rates of all steps so far are an expression over a row's posterior. The closest step counts.
-Nothing is shuffled but partial sums.
+Nothing is shuffled but partial sums. Domains without a target keep the share that they have.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 from math import log
 
@@ -24,6 +25,8 @@ from .features import with_labels
 BUCKETS = 4096
 STEPS = 40
 CLOSE = 1e-6
+#: Shares further from their targets than this are reported.
+TOLERANCE = 1e-3
 SEED = 11
 
 
@@ -33,7 +36,7 @@ def literal(values: np.ndarray) -> Column:
 
 
 def word_buckets(text: Column) -> Column:
-    return F.transform(F.filter(F.split(text, " "), lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+    return F.transform(F.filter(F.split(text, r"[ \t\n\x0B\f\r]+"), lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
 
 
 @dataclass
@@ -89,6 +92,11 @@ class Rates:
     reached: np.ndarray  # expected domain shares at the end
     wanted: np.ndarray
 
+    @property
+    def gap(self) -> float:
+        """The largest difference between a share that was reached and the one that was wanted."""
+        return float(np.abs(self.reached - self.wanted).max(initial=0.0))
+
     def column(self, posterior: str = "posterior") -> Column:
         return rate(self.steps, posterior)
 
@@ -108,13 +116,14 @@ def rate(steps: list[np.ndarray], posterior: str = "posterior") -> Column:
 
 
 def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float], budget: float = 1.0) -> Rates:
-    """Rates for ``members`` (n_tokens, posterior) whose expected domain token totals are ``budget`` times the present total,
-    split by ``targets`` (normalised; a domain that is not named gets 0)."""
+    """Rates for ``members`` (n_tokens, posterior) whose expected domain token totals are ``budget`` times the present total. A
+    domain that ``targets`` does not name keeps its present share; the others split the rest as ``targets`` say. What the closest
+    of ``STEPS`` steps reached is in the result; a warning tells where that is not the target."""
     k = len(names)
+    named = np.array([x in targets for x in names], bool)
     wanted = np.array([max(0.0, targets.get(x, 0.0)) for x in names])
-    if not k or wanted.sum() <= 0:
+    if not k:
         return Rates([], np.zeros(k), wanted)
-    wanted = budget * wanted / wanted.sum()
     p = [F.get("posterior", F.lit(j)) for j in range(k)]
     t = F.col("n_tokens").cast("double")
     total = members.agg(F.sum(t)).first()[0] or 0.0
@@ -131,6 +140,11 @@ def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float], b
         gram = np.zeros((k, k))
         for n, (i, j) in enumerate(pairs, k):
             gram[i, j] = gram[j, i] = (row[f"s{n}"] or 0.0) / total
+        if not steps:
+            wanted = np.where(named, wanted, reached)
+            if wanted[named].sum() > 0:
+                wanted[named] *= (1 - reached[~named].sum()) / wanted[named].sum()
+            wanted *= budget
         gap = reached - wanted
         far = float(np.abs(gap).max())
         if best is None or far < best[0]:
@@ -138,7 +152,10 @@ def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float], b
         if far < CLOSE:
             break
         steps.append(np.linalg.pinv(gram, rcond=1e-6, hermitian=True) @ gap)
-    return Rates(steps[: best[1]], best[2], wanted)
+    rates = Rates(steps[: best[1]], best[2], wanted)
+    if rates.gap > TOLERANCE:
+        warnings.warn(f"domain shares {np.round(best[2], 4).tolist()} instead of {np.round(wanted, 4).tolist()} for {names}", stacklevel=2)
+    return rates
 
 
 def with_copies(members: DataFrame, rates: Rates, id_col: str = "doc_id") -> DataFrame:
@@ -151,7 +168,8 @@ def mix(docs: DataFrame, model: Domains, targets: dict[str, float], id_col: str
     """``docs`` resampled: each row as often as its ``copies`` say, the columns unchanged.
 
     Memberships are computed once for the rates, from a table of ids' posteriors, and once for the rows that are returned.
-    An empty table, or one without a word, comes back as it is.
+    An empty table, or one without a word, comes back as it is. Null texts count as empty and have the prior as their posterior;
+    rows with one id, or none, share the chance of one more copy. Columns of any name pass through.
     """
     members = memberships(docs.select(id_col, text_col), model, text_col).select("n_tokens", "posterior")
     rates = fit_rates(written(members, "mix-members"), model.names, targets)
