@@ -137,11 +137,14 @@ def test_lm_scores(spark, docs):
         assert got[i]["score"] < 0
 
 
-@pytest.mark.parametrize("share", [None, 1e-3])
-def test_lm_knows_every_string(docs, monkeypatch, share):
-    """Against one trie of all strings, however few of them are frequent."""
+@pytest.mark.parametrize("share, part", [(None, None), (1e-3, None), (1e-3, 40)])
+def test_lm_knows_every_string(docs, monkeypatch, share, part):
+    """Against one trie of all strings, however few of them are frequent and however small the parts of the trie."""
     if share:
         monkeypatch.setattr(ppm, "SHARE", share)
+    if part:
+        monkeypatch.setattr(ppm, "LEAST_PART", part)
+        monkeypatch.setattr(ppm, "partitions", lambda spark, df=None: 4 if df is not None else 1000)
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
     learned = {i: t for i, t in texts.items() if i % 5}
     coded = lambda ts: ppm.coded(np.frombuffer(b"".join(ts), np.uint8), np.cumsum([0, *map(len, ts)]))

@@ -8,7 +8,8 @@ import pytest
 import xxhash
 
 from tideline.llm import simhash
-from tideline.llm.simhash import Spec, fingerprint, one_of_each, simhash_components
+from tideline.llm.near_copies import one_of_each
+from tideline.llm.simhash import Spec, fingerprint, simhash_components
 
 
 def brute_fingerprint(text, n=4):
@@ -66,6 +67,30 @@ def test_links_connect_what_brute_force_connects(spark):
     assert [named.get(i, i) for i in range(len(fps))] == brute_components(fps, 4)
 
 
+def test_one_segment_shared_by_most(spark):
+    """The entries of a hot segment are cut; what they connect stays the same."""
+    rng = random.Random(17)
+    fps = {rng.getrandbits(32) << 32 | 0xABCD1234 for _ in range(500)}
+    for f in list(fps)[:120]:
+        near = f
+        for b in rng.sample(range(64), rng.randint(1, 5)):
+            near ^= 1 << b
+        fps.add(near)
+    fps = sorted(fps)
+    rows = [(int(np.uint64(f).view(np.int64)), i) for i, f in enumerate(fps)]
+    nodes = spark.createDataFrame(rows, "fp long, rep long")
+    cut = simhash.table_rows(nodes, 50)
+    assert cut.groupBy("key").count().agg({"count": "max"}).first()[0] < 100 < simhash.table_rows(nodes).groupBy("key").count().agg({"count": "max"}).first()[0]
+    named = {r["node"]: r["component"] for r in simhash.connected_components(simhash.links(nodes, large=50)).collect()}
+    assert [named.get(i, i) for i in range(len(fps))] == brute_components(fps, 4)
+
+
+def test_a_word_longer_than_a_chunk(monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 16)
+    text = "a b " + "x" * 200 + " c d e " + "y" * 50
+    assert fingerprint(text.encode()) == brute_fingerprint(text)
+
+
 def test_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = docs.select("doc_id", "text").collect()
