@@ -38,9 +38,13 @@ def test_collection_is_sorted_suffixes_with_common_prefixes():
         assert x == (segments[d][left - 1] + 1 if left else 0)
 
 
-@pytest.mark.parametrize("split", [4000, 2])
-def test_against_brute_force(spark, monkeypatch, split):
+@pytest.mark.parametrize("split, large", [(4000, 1 << 18), (2, 1 << 18), (4000, 2)])
+def test_against_brute_force(spark, monkeypatch, split, large):
     monkeypatch.setattr(S, "SPLIT", split)
+    monkeypatch.setattr(S, "LARGE", large)
+    if large == 2:
+        monkeypatch.setattr(S, "SAMPLE", 1)
+        monkeypatch.setattr(S, "partitions", lambda spark, df=None: 300)
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randint(2, 7)))
     passages = [" ".join(word() for _ in range(rng.randint(4, 30))) for _ in range(6)]
@@ -57,3 +61,19 @@ def test_repeated_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(1, text, "x"), (1, text, "y")], "doc_id long, text string, kept string")
     assert [r["n_removed"] for r in S.remove_repeats(docs).collect()] == [0, 0] or brute([(1, text)], 100)[1][1] > 0
     assert S.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_a_copy_that_is_none_is_an_error(spark):
+    texts = spark.createDataFrame([(1, b"one text that is long enough"), (2, b"another")], "id long, text binary")
+    spans = lambda source: spark.createDataFrame([(1, 4, 8, source)], "doc long, lo long, hi long, source binary")
+    assert [r["n_removed"] for r in S.without_repeats(texts, spans(b"text")).orderBy("id").collect()] == [4, 0]
+    with pytest.raises(Exception, match="agree in both hashes"):
+        S.without_repeats(texts, spans(b"tent")).collect()
+
+
+def test_runs_of_copies():
+    import numpy as np
+
+    a = lambda *x: np.array(x, np.int64)
+    doc, lo, hi, other, at = S.copied_runs(a(1, 1, 1, 2, 1), a(0, 10, 40, 10, 20), a(12, 20, 50, 20, 30), a(7, 7, 7, 7, 8), a(100, 110, 140, 110, 120))
+    assert sorted(zip(doc, lo, hi, other, at)) == [(1, 0, 20, 7, 100), (1, 20, 30, 8, 120), (1, 40, 50, 7, 140), (2, 10, 20, 7, 110)]
