@@ -11,7 +11,7 @@ costs depends on its (ORDER + 1)-byte string alone, and a text's code length is
 
 No task holds the whole trie. All of it that strings with the same two bytes before their symbol need are those strings and the
 two-byte ones (at most 65,536, sent to every task), so counts are dealt by these two bytes and each task builds its part, which
-is exact. Where two bytes have very many strings, these are dealt by three bytes, or four, or five, and the strings that end in
+is exact. Where two bytes have very many strings or rare occurrences, these are dealt by three bytes, or four, or five, and the strings that end in
 the shorter contexts (256 at most for each context that is so split) are sent to every task as well. Strings that make up at least ``SHARE`` of the training bytes, at most 1 / SHARE of them, are scored there once, and
 their logarithms broadcast; every other string of a text goes by a shuffle to its part of the trie.
 
@@ -40,7 +40,7 @@ FREQUENT = 1_000_000
 #: The word key of the end of a text.
 END = 0
 HELD_KEYS = 2_000_000
-#: Strings of a part, where their number is at least that and a part's fair share.
+#: A part's weight in strings and rare occurrences from which on it may be split.
 LEAST_PART = 1 << 16
 #: What a zero byte of a text counts as, since zero is the end's: a byte that no UTF-8 text holds.
 ZERO = 255
@@ -244,12 +244,15 @@ def context(length: int) -> Column:
     return F.shiftright("key", 8).bitwiseAND((1 << 8 * length) - 1)
 
 
-def split_of(strings: DataFrame, total: int) -> Split:
-    """What has to be split of ``total`` strings (key, n): a bounded number of contexts, as each has more than a part's share."""
+def split_of(strings: DataFrame, least: int) -> Split:
+    """What has to be split of the strings (key, n): a bounded number of contexts, as each has more than a part's share of the
+    strings and of the occurrences of those under ``least``, which are looked up one by one."""
+    weight = F.sum(1 + F.when(F.col("n") < least, F.col("n")).otherwise(0))
+    total = strings.agg(weight.alias("w")).first()["w"] or 0
     most = max(LEAST_PART, -(-total // (4 * partitions(strings.sparkSession))))
     found, ends, rows = [], [], strings
     for k in (2, 3, 4):
-        large = [] if rows is None else rows.groupBy(context(k).alias("c")).agg(F.count("*").alias("n")).where(F.col("n") > most).select("c").collect()
+        large = [] if rows is None else rows.groupBy(context(k).alias("c")).agg(weight.alias("w")).where(F.col("w") > most).select("c").collect()
         found.append(np.sort(np.array([r["c"] for r in large], np.uint64)))
         rows = None if not large else rows.where(context(k).isin([r["c"] for r in large]))
         last = rows and rows.groupBy(F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("key")).agg(F.sum("n").alias("n")).toArrow()
@@ -314,7 +317,7 @@ def fit(counts: DataFrame) -> Scorer:
     least = max(1, int(np.ceil(SHARE * size)))
     short = counts.where(F.col("kind") == BYTES).groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(F.sum("n").alias("n")).toArrow()
     pairs = (short.column("key").to_numpy().astype(np.uint64), short.column("n").to_numpy().astype(np.int64))
-    split = split_of(counts.where(F.col("kind") == BYTES).select("key", "n"), totals.get(BYTES, (0, 0))[1])
+    split = split_of(counts.where(F.col("kind") == BYTES).select("key", "n"), least)
     frequent = string_scores(counts, None, counts.sparkSession.sparkContext.broadcast((pairs, split)), split, least).toArrow()
     strings = Table(frequent.column("row").to_numpy().astype(np.int64).view(np.uint64))
     often = counts.where((F.col("kind") == WORDS) & (F.col("n") >= max(2, -(-tokens // FREQUENT)))).select("key", "n").toArrow()
