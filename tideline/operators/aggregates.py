@@ -170,6 +170,29 @@ def attach(
     return cohort
 
 
+def value_counts(cohort: DataFrame, catalog: Catalog, entity: str, aggs: list[A.Agg], anchor: datetime | None) -> DataFrame:
+    """(entity_id, v, n, in_windows): for each of the aggregates' values how many rows hold it, and in how many of their frames.
+    The aggregates differ in their frames alone. Rows are counted by entity and value before they meet the cohort."""
+    agg, pk = aggs[0], catalog.schema.tables[entity].pk
+    link = as_parent(agg, catalog, entity, strict=True)
+    spec = catalog.schema.tables[agg.table]
+    rows = catalog.parents(link) if link else catalog.frame(agg.table).withColumn("__parent", F.col(spec.pk))
+    keys = cohort.select(F.col(pk).alias("__parent"), *([ANCHOR] if anchor is None else []))
+    time, at = F.col(spec.time), F.col(ANCHOR) if anchor is None else anchor
+    if agg.where is not None:
+        rows = rows.where(Expressions(row_reader(catalog, agg.table)).filter(agg.where))
+    if anchor is None:
+        rows = rows.join(keys, "__parent")
+    hull = A.Frame(min(a.frame.start for a in aggs), max(a.frame.end for a in aggs))
+    rows = rows.where(all_of(bounds(hull, time, at))).where(F.col(agg.column).isNotNull())
+    inside = [all_of(bounds(a.frame, time, at)).cast("int") for a in aggs]
+    n = sum(inside[1:], inside[0])
+    counted = rows.groupBy("__parent", F.col(agg.column).alias("v")).agg(F.sum(n).alias("n"), *(F.max(x).alias(f"__i{k}") for k, x in enumerate(inside))).where("n > 0")
+    windows = sum((F.col(f"__i{k}") for k in range(1, len(inside))), F.col("__i0"))
+    found = counted if anchor is None else counted.join(keys, "__parent", "left_semi")
+    return found.select(F.col("__parent").alias("entity_id"), "v", "n", windows.alias("in_windows"))
+
+
 def entity_reader(catalog: Catalog, entity: str, names: dict[A.Agg, str]):
     """Columns of the cohort: the entity's own, and the attached aggregates."""
     own = row_reader(catalog, entity)

@@ -1,6 +1,6 @@
 """Contexts: the bounded, time-safe neighbourhood of each entity over the links, hop by hop.
 
-All tables are seen as one table of nodes and all links as one table of edges, so a hop is two joins whatever the schema.
+All links are seen as one table of edges, so a hop is two joins whatever the schema; what rows hold is looked up at the end.
 Parents of a row are always followed; children newest first, up to the policy's fan-out. Every row is checked against the
 entity's anchor at every hop. Rows without a key are named by a hash of all their columns: equal rows are interchangeable.
 """
@@ -91,49 +91,74 @@ def seeds(cohort: DataFrame, entity: str, pk: str, anchor: datetime | None) -> D
     return cohort.select(F.col(pk).cast("string").alias("entity_id"), at.cast("timestamp_ntz").alias("anchor_ts"), F.lit(entity).alias("tbl"), F.col(pk).cast("string").alias("row_id"))
 
 
-def assemble(cohort: DataFrame, catalog: Catalog, entity: str, anchor: datetime | None, policy: Policy = Policy()) -> DataFrame:
+def stored_rows(catalog: Catalog, found: DataFrame) -> DataFrame:
+    """``found`` (entity_id, anchor_ts, tbl, row_id, ...) with what the rows hold. A table without a declared key may hold equal rows
+    under one name; they are interchangeable, and one is taken for each context, so no table is deduplicated as a whole."""
+    rows = found.join(reduce(DataFrame.unionByName, [nodes(catalog, t) for t in catalog.schema.tables]), ["tbl", "row_id"])
+    same = Window.partitionBy("entity_id", "anchor_ts", "tbl", "row_id").orderBy("ts")
+    return rows.withColumn("__same", F.row_number().over(same)).where("__same = 1").drop("__same")
+
+
+def newest_children(catalog: Catalog, anchor: datetime | None, width: int) -> DataFrame:
+    """Edges from each row to its newest children as of the one anchor, ``width`` + 1 of each link at most, with their place."""
+    links = edges(catalog)
+    if anchor is not None:
+        links = links.where(F.col("child_ts").isNull() | (F.col("child_ts") <= literal(anchor)))
+    newest = Window.partitionBy("parent", "parent_id", "link").orderBy(F.col("child_ts").desc_nulls_last(), "child_id")
+    return links.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= width + 1)
+
+
+def assemble(cohort: DataFrame, catalog: Catalog, entity: str, anchor: datetime | None, policy: Policy = Policy(), peers: DataFrame | None = None) -> DataFrame:
     """The contexts of ``cohort``: COLUMNS and ``truncated``, how often a fan-out cut children off at that row.
 
-    Kept within max_context_cells by (hop, newest, table, row); the entity's own row always stays.
+    With one anchor for all, children are cut to the fan-out before any entity meets them, so a row with very many children costs
+    no more than one with a few. With an anchor each, children are cut for each anchor. Kept within max_context_cells by (hop,
+    newest, table, row); the entity's own row always stays. ``peers``: (entity_id, peer_id) that join at hop 1 beside or instead
+    of the first ``cohort_size`` by key.
     """
     pk = catalog.schema.tables[entity].pk
+    shared = ANCHOR not in cohort.columns or anchor is not None
     all_edges = edges(catalog)
-    # rows are found by name alone at first; what they hold is joined once, at the end
-    times = reduce(DataFrame.union, [nodes(catalog, t).select("tbl", "row_id", "ts") for t in catalog.schema.tables]).dropDuplicates(["tbl", "row_id"])
+    cut_edges = newest_children(catalog, anchor, policy.bfs_width) if shared else all_edges
+    # rows are found by name alone at first; what they hold is joined once, at the end. Only parents have to be looked at before.
+    above = {x.parent for x in catalog.schema.links}
+    times = reduce(DataFrame.union, [nodes(catalog, t).select("tbl", "row_id", "ts") for t in catalog.schema.tables if t in above]) if above else None
     own = seeds(cohort, entity, pk, anchor)
     found = own.withColumns({"hop": F.lit(0), "is_focal": F.lit(True), "truncated": F.lit(0)})
+    others = None
     if policy.cohort_size:
-        others = catalog.frame(entity).select(F.col(pk).cast("string").alias("row_id")).orderBy("row_id").limit(policy.cohort_size + 1)
+        some = catalog.frame(entity).select(F.col(pk).cast("string").alias("row_id")).orderBy("row_id").limit(policy.cohort_size + 1)
         # cohort_size + 1 rows at most
-        peers = own.drop("row_id").withColumn("__e", F.col("entity_id")).join(F.broadcast(others), F.col("__e") != F.col("row_id")).drop("__e")
+        near = own.drop("row_id").withColumn("__e", F.col("entity_id")).join(F.broadcast(some), F.col("__e") != F.col("row_id")).drop("__e")
         rank = F.row_number().over(Window.partitionBy("entity_id", "anchor_ts").orderBy("row_id"))
-        peers = peers.withColumn("__n", rank).where(F.col("__n") <= policy.cohort_size).drop("__n")
-        found = found.unionByName(peers.withColumns({"hop": F.lit(1), "is_focal": F.lit(False), "truncated": F.lit(0)}))
+        others = near.withColumn("__n", rank).where(F.col("__n") <= policy.cohort_size).drop("__n")
+    if peers is not None:
+        near = own.drop("row_id").join(peers.select(F.col("entity_id").cast("string").alias("entity_id"), F.col("peer_id").cast("string").alias("row_id")), "entity_id")
+        others = near if others is None else others.unionByName(near)
+    if others is not None:
+        found = found.unionByName(others.distinct().withColumns({"hop": F.lit(1), "is_focal": F.lit(False), "truncated": F.lit(0)}))
     frontier = found
     known = ["entity_id", "anchor_ts", "tbl", "row_id"]
-    for hop in range(1, policy.max_hops + 1):
+    for hop in range(1, policy.max_hops + 1 if above else 1):
         at = frontier.select(*known, "is_focal")
         up = at.join(all_edges, (at["tbl"] == all_edges["child"]) & (at["row_id"] == all_edges["child_id"]))
-        up = up.select("entity_id", "anchor_ts", F.col("parent").alias("tbl"), F.col("parent_id").alias("row_id"), "is_focal", F.lit(0).alias("truncated"))
-        down = at.join(all_edges, (at["tbl"] == all_edges["parent"]) & (at["row_id"] == all_edges["parent_id"]))
-        down = down.where(F.col("child_ts").isNull() | F.col("anchor_ts").isNull() | (F.col("child_ts") <= F.col("anchor_ts")))
-        newest = Window.partitionBy("entity_id", "anchor_ts", "tbl", "row_id", "link").orderBy(F.col("child_ts").desc_nulls_last(), "child_id")
-        down = down.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= policy.bfs_width + 1)
-        over = (F.col("__n") > policy.bfs_width).cast("int")
-        down = down.select("entity_id", "anchor_ts", F.col("child").alias("tbl"), F.col("child_id").alias("row_id"), "is_focal", over.alias("truncated"))
-        step = up.unionByName(down.where("truncated = 0"))
-        cut = down.where("truncated = 1").groupBy("entity_id", "anchor_ts").agg(F.count("*").cast("int").alias("cut"))
-        step = step.join(times, ["tbl", "row_id"]).where(F.col("ts").isNull() | F.col("anchor_ts").isNull() | (F.col("ts") <= F.col("anchor_ts"))).drop("ts")
-        fresh = step.join(found.select(*known), known, "left_anti").groupBy(*known).agg(F.max("is_focal").alias("is_focal"), F.max("truncated").alias("truncated"))
-        fresh = fresh.withColumn("hop", F.lit(hop))
-        # a hop's rows are an input of every later hop: a stored copy keeps them from being found again each time
-        frontier = fresh.persist()
+        up = up.select("entity_id", "anchor_ts", F.col("parent").alias("tbl"), F.col("parent_id").alias("row_id"), "is_focal")
+        up = up.join(times, ["tbl", "row_id"]).where(F.col("ts").isNull() | F.col("anchor_ts").isNull() | (F.col("ts") <= F.col("anchor_ts"))).drop("ts")
+        down = at.join(cut_edges, (at["tbl"] == cut_edges["parent"]) & (at["row_id"] == cut_edges["parent_id"]))
+        if not shared:
+            down = down.where(F.col("child_ts").isNull() | F.col("anchor_ts").isNull() | (F.col("child_ts") <= F.col("anchor_ts")))
+            newest = Window.partitionBy("entity_id", "anchor_ts", "tbl", "row_id", "link").orderBy(F.col("child_ts").desc_nulls_last(), "child_id")
+            down = down.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= policy.bfs_width + 1)
+        down = down.select("entity_id", "anchor_ts", F.col("child").alias("tbl"), F.col("child_id").alias("row_id"), "is_focal", (F.col("__n") > policy.bfs_width).alias("over"))
+        step = up.unionByName(down.where("NOT over").drop("over"))
+        cut = down.where("over").groupBy("entity_id", "anchor_ts").agg(F.count("*").cast("int").alias("cut"))
+        fresh = step.join(found.select(*known), known, "left_anti").groupBy(*known).agg(F.max("is_focal").alias("is_focal"))
+        frontier = fresh.withColumns({"truncated": F.lit(0), "hop": F.lit(hop)})
         found = found.unionByName(frontier).unionByName(
             cut.select("entity_id", "anchor_ts", F.lit(None).cast("string").alias("tbl"), F.lit(None).cast("string").alias("row_id"), F.lit(hop).alias("hop"), F.lit(False).alias("is_focal"), F.col("cut").alias("truncated"))
         )
     events = found.where(F.col("tbl").isNull()).groupBy(F.col("entity_id").alias("__e"), F.col("anchor_ts").alias("__a")).agg(F.sum("truncated").alias("truncated"))
-    full = reduce(DataFrame.unionByName, [nodes(catalog, t) for t in catalog.schema.tables]).dropDuplicates(["tbl", "row_id"])
-    rows = found.where(F.col("tbl").isNotNull()).drop("truncated").join(full, ["tbl", "row_id"])
+    rows = stored_rows(catalog, found.where(F.col("tbl").isNotNull()).drop("truncated"))
     rows = rows.join(events, (F.col("entity_id") == F.col("__e")) & F.col("anchor_ts").eqNullSafe(F.col("__a")), "left").drop("__e", "__a")
     order = Window.partitionBy("entity_id", "anchor_ts").orderBy("hop", F.col("ts").desc_nulls_last(), "tbl", "row_id")
     rows = rows.withColumn("__sum", F.sum("n_cells").over(order)).where((F.col("hop") == 0) | (F.col("__sum") <= policy.max_context_cells))

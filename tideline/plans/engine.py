@@ -11,7 +11,7 @@ from dataclasses import dataclass, field, replace
 from datetime import datetime
 from typing import Any, Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import ExecutionFault, ScoringFault
@@ -20,9 +20,10 @@ from ..lang import ast as A
 from ..lang.parser import parse
 from ..lang.printer import show
 from ..operators import context as contexts
+from ..operators import domains
 from ..operators import labels as L
 from ..operators import rewrites, tokens
-from ..operators.aggregates import ANCHOR
+from ..operators.aggregates import ANCHOR, value_counts
 from ..operators.cohort import filtered, pins, population
 from ..schema import BOOLEAN, TEXT, Catalog
 from . import validate as V
@@ -209,52 +210,91 @@ class Engine:
         s, pk, task = p.statement, p.bound.pk, p.bound.task
         if p.bound.virtual:
             raise ScoringFault(f"{s.table}.{s.target.name} is no column: history knows nothing of it")
-        peers, col = self.catalog.bounded(s.table, p.anchor), s.target.name
+        col, kind = s.target.name, L.target_type(self.catalog, s.table, s.target)
+        own_time = p.shared_anchor is None and p.request.per_entity_anchor
         if task == V.MULTICLASS:
-            domain = self.class_domain(p.request)
-            counted = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col("class"))))
-            order = domain.agg(counted.alias("__c"))  # one row of 1000 classes at most
+            domain = self.domain_of(p, 1000)
+            entries = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col("class"))))  # 1000 classes at most
+            order = domain.groupBy(*([ANCHOR] if own_time else [])).agg(entries.alias("__c"))
             less = F.array_sort(F.transform("__c", lambda x: F.struct((x["n"] + F.when(x["class"] == F.col(col), 1).otherwise(0)).alias("n"), x["class"].alias("class"))))
-            made = p.cohort.join(F.broadcast(order)).withColumn("__c", less)
+            made = (self.at_anchors(p.cohort, order) if own_time else p.cohort.join(F.broadcast(order))).withColumn("__c", less)
             total = F.aggregate("__c", F.lit(0).cast("long"), lambda a, x: a - x["n"])
             probs = F.map_from_entries(F.transform("__c", lambda x: F.struct(x["class"], F.try_divide(-x["n"], total))))
             return made.select(F.col(pk).alias("entity_id"), F.get("__c", F.lit(0))["class"].alias("predicted_class"), probs.alias("class_probs"))
-        kind = L.target_type(self.catalog, s.table, s.target)
         x = F.unix_micros(F.col(col).cast("timestamp")) / 1e6 if kind == "DATETIME" else F.col(col).cast("double")
-        sums = peers.agg(F.sum(x).alias("__s"), F.count(x).alias("__n"))  # one row
-        made = p.cohort.join(F.broadcast(sums))
+        if own_time:
+            rows = self.catalog.frame(s.table).select(domains.time_of(self.catalog, s.table).alias("__t"), x.alias("__s"), x.isNotNull().cast("long").alias("__n"))
+            made = self.at_anchors(p.cohort, domains.totals_at(rows, domains.anchors_of(p.cohort), [], ["__s", "__n"]))
+        else:
+            made = p.cohort.join(F.broadcast(self.catalog.bounded(s.table, p.anchor).agg(F.sum(x).alias("__s"), F.count(x).alias("__n"))))  # one row
         mean = F.try_divide(F.col("__s") - F.coalesce(x, F.lit(0.0)), F.col("__n") - x.isNotNull().cast("int"))
         return made.select(F.col(pk).alias("entity_id"), mean.alias("probability" if task == V.BINARY else "value"))
 
-    def class_domain(self, request: Request | str, most: int = 1000) -> DataFrame:
-        """(class, n): the classes of a text target as of the anchor, the first ``most`` in byte order."""
-        p = self.prepare(request)
+    @staticmethod
+    def at_anchors(cohort: DataFrame, known: DataFrame) -> DataFrame:
+        """The cohort with what is known at each row's own anchor."""
+        known = known.withColumnRenamed(ANCHOR, "__known_at")
+        return cohort.join(known, cohort[ANCHOR].eqNullSafe(known["__known_at"]), "left").drop("__known_at")
+
+    def domain_of(self, p: Prepared, most: int) -> DataFrame:
         t = p.statement.target
         table, col = (t.table, t.column) if isinstance(t, A.Agg) else (t.table, t.name)
+        if p.request.per_entity_anchor:
+            return domains.class_counts(self.catalog, table, col, domains.anchors_of(p.cohort), most)
         rows = self.catalog.bounded(table, p.anchor).where(F.col(col).isNotNull())
         return rows.groupBy(F.col(col).cast("string").alias("class")).agg(F.count("*").alias("n")).orderBy("class").limit(most)
 
+    def class_domain(self, request: Request | str, most: int = 1000) -> DataFrame:
+        """(class, n): the classes of a text target as of the anchor, the first ``most`` in byte order; with an anchor for each
+        entity (anchor_ts, class, n), a domain for every anchor."""
+        return self.domain_of(self.prepare(request), most).withColumnsRenamed({ANCHOR: "anchor_ts"})
+
     def candidates(self, request: Request | str, most: int = 1000) -> DataFrame:
-        """(candidate): keys of the table that a ranking's foreign key points to, the first ``most``; numbers by value, texts by bytes."""
-        p = self.prepare(request)
+        """(candidate): keys of the table that a ranking's foreign key points to, the first ``most``; numbers by value, texts by
+        bytes. With an anchor for each entity (anchor_ts, candidate)."""
+        return self.candidates_of(self.prepare(request), most).withColumnsRenamed({ANCHOR: "anchor_ts"})
+
+    def candidates_of(self, p: Prepared, most: int = 1000) -> DataFrame:
         t = p.statement.target
         link = next((x for x in self.schema.links_from(t.table) if x.fk == t.column), None)
         if link is None:
             raise ExecutionFault(f"a ranking's target has to be a foreign key; {t.table}.{t.column} is none")
         key = self.schema.tables[link.parent].pk
+        if p.request.per_entity_anchor:
+            return domains.candidates_at(self.catalog, link.parent, key, domains.anchors_of(p.cohort), most)
         return self.catalog.bounded(link.parent, p.anchor).select(F.col(key).alias("candidate")).orderBy("candidate").limit(most)
 
+    def score_candidates(self, request: Request | str, most: int = 1000) -> DataFrame:
+        """(entity_id, candidate, probability) of every pair of a ranking's entity and candidate: in what share of the past windows
+        the candidate was in the target's list. Candidates are ``most`` at most and broadcast."""
+        p = self.prepare(request)
+        seen, windows = self.past_values(p)
+        entity = p.cohort.select(F.col(p.bound.pk).alias("entity_id"), *([ANCHOR] if p.request.per_entity_anchor else []))
+        known = self.candidates_of(p, most)
+        pairs = self.at_anchors(entity, known) if p.request.per_entity_anchor else entity.join(F.broadcast(known))
+        share = seen.select(F.col("entity_id").alias("__e"), F.col("v").alias("__v"), (F.col("in_windows") / windows).alias("probability"))
+        made = pairs.join(share, (F.col("entity_id") == F.col("__e")) & (F.col("candidate") == F.col("__v")), "left")
+        return made.select("entity_id", "candidate", F.coalesce("probability", F.lit(0.0)).alias("probability"))
+
+    def past_values(self, p: Prepared) -> tuple[DataFrame, int]:
+        """(entity_id, v, n, in_windows) of the values in the past windows, and how many windows: rows, and windows with a row."""
+        s, agg = p.statement, replace(p.statement.target, frame=replace(p.statement.target.frame, rank=None))
+        trees = [L.shifted(agg, x) for x in L.history_shifts(agg, self.policy.num_history_windows)]
+        if not trees:
+            raise ScoringFault("a target without a bounded frame has no past windows")
+        return value_counts(p.cohort, self.catalog, s.table, trees, p.shared_anchor), len(trees)
+
     def rank_history(self, p: Prepared) -> DataFrame:
         """(entity_id, ranked): the values most frequent in the past windows, ties by value, the first k as texts."""
-        s = p.statement
-        as_list = replace(s.target, func="ARRAY_AGG", frame=replace(s.target.frame, rank=None))
-        wide, names, _ = self.history_wide(p, as_list)
-        seen = wide.select(F.col(p.bound.pk).alias("entity_id"), F.flatten(F.array(*names)).alias("v"))
-        counted = seen.select("entity_id", F.explode("v").alias("v")).groupBy("entity_id", "v").agg(F.count("*").alias("n"))
-        k = s.rank or 1
-        best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col("v")))), 1, k)
-        ranked = counted.groupBy("entity_id").agg(F.transform(best, lambda x: x["v"].cast("string")).alias("ranked"))
-        return seen.select("entity_id").join(ranked, "entity_id", "left").select("entity_id", F.coalesce("ranked", F.array().cast("array<string>")).alias("ranked"))
+        k = p.statement.rank or 1
+        seen, _ = self.past_values(p)
+        place = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("n"), "v"))
+        first = seen.withColumn("__n", place).where(F.col("__n") <= k)
+        ranked = first.groupBy(F.col("entity_id").alias("__e")).agg(F.array_sort(F.collect_list(F.struct("__n", "v"))).alias("__r"))
+        entity = p.cohort.select(F.col(p.bound.pk).alias("entity_id"))
+        made = entity.join(ranked, F.col("entity_id") == F.col("__e"), "left")
+        names = F.transform("__r", lambda x: x["v"].cast("string"))
+        return made.select("entity_id", F.coalesce(names, F.array().cast("array<string>")).alias("ranked"))
 
     def shape(self, scored: DataFrame, p: Prepared) -> DataFrame:
         """The output form that RETURN asks for."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime
 from functools import cache, partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -101,7 +102,9 @@ class Catalog:
         df, time = self.frame(table), self.schema.tables[table].time
         if time is None or anchor is None:
             return df
-        return df.where(F.col(time).isNull() | (F.col(time) <= F.lit(anchor)))
+        # written out: a datetime as a literal would be an instant in the driver's zone, and admit rows from after the anchor
+        at = F.lit(anchor.isoformat(sep=" ")).cast("timestamp_ntz") if isinstance(anchor, datetime) else F.lit(anchor)
+        return df.where(F.col(time).isNull() | (F.col(time) <= at))
 
     def dangling(self) -> DataFrame:
         """(child, fk, parent, n): rows of each link whose key has no parent."""
