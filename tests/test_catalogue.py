@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 from tideline.plans import catalogue
 
-SOME = ["churn_truth", "spend_avg_min_max", "list_status", "last_status", "inline_filter_cols", "where_mixed", "pk_pin_found", "fn_least_greatest", "horizons_step", "hist_mean", "hurdle", "rank_topk_hist", "multi_entity_anchor", "ctx_bfs2", "assume_count_add", "two_tables"]
+SOME = ["churn_truth", "spend_avg_min_max", "list_status", "last_status", "inline_filter_cols", "where_mixed", "pk_pin_found", "fn_least_greatest", "horizons_step", "hist_mean", "hurdle", "rank_topk_hist", "multi_entity_anchor", "ctx_bfs2", "assume_count_add", "two_tables", "ctx_bfs1", "ctx_report", "ablation_report", "token_rows", "col_stats", "rank_scores", "class_domain_own_anchor", "peer_class_own_anchor", "peer_mean_own_anchor", "classify_counts", "inferred_population", "clauses_in_any_order", "lookup_as_of", "scan_as_of"]
 
 
 def plain(value):

@@ -11,21 +11,23 @@ from tideline.plans.engine import Engine, Request, render
 from tideline.plans.scorers import TokenScorer
 from tideline.schema import Catalog, infer
 
-T0 = datetime(2026, 7, 1)
+NOON = datetime(2031, 3, 1)
+MEMBER = "PREDICT EXISTS(loan.*) OVER (14 DAYS FOLLOWING) FROM member"
 
 
 @pytest.fixture(scope="module")
 def graph(spark):
-    at = lambda text: datetime.fromisoformat(text)
+    """A lending library: members borrow books; one loan starts after NOON, one has no date."""
+    at = lambda text: text and datetime.fromisoformat(text)
     frames = {
-        "customers": spark.createDataFrame([("C1", 34.0, at("2026-02-10")), ("C7", 52.0, at("2026-01-20")), ("C9", 27.0, at("2026-03-05"))], "customer_id string, age double, signup_date timestamp_ntz"),
-        "products": spark.createDataFrame([("P1", 25.0, "running shoes"), ("P2", 90.0, "espresso machine"), ("P3", 35.0, "yoga mat")], "product_id string, price double, name string"),
-        "orders": spark.createDataFrame(
-            [("O1", 1.0, at("2026-03-10"), "C7", "P2"), ("O2", 2.0, at("2026-05-02"), "C7", "P1"), ("O3", 1.0, at("2026-06-20"), "C1", "P3"), ("O4", 1.0, at("2026-07-05"), "C7", "P3")],
-            "order_id string, qty double, order_date timestamp_ntz, customer_id string, product_id string",
+        "member": spark.createDataFrame([(11, "north", 3.5, at("2030-11-05")), (12, "south", 0.0, at("2030-12-24")), (13, "north", None, at("2031-01-15")), (14, "east", 8.25, at("2031-02-02"))], "mid long, branch string, fees double, joined timestamp_ntz"),
+        "book": spark.createDataFrame([("b-a", 412, "atlas"), ("b-k", 96, "kites"), ("b-w", 230, None)], "bid string, pages int, title string"),
+        "loan": spark.createDataFrame(
+            [(501, 11, "b-a", 21, at("2031-01-04 09:00")), (502, 11, "b-k", 7, at("2031-02-20 17:30")), (503, 12, "b-a", 14, at("2031-02-27 08:15")), (504, 11, "b-w", 28, at("2031-03-09 10:00")), (505, 14, "b-w", 5, None), (506, 11, "b-a", 9, at("2030-12-12"))],
+            "lid long, mid long, bid string, days int, start timestamp_ntz",
         ),
     }
-    schema = infer(frames, {"customers": "customer_id", "products": "product_id", "orders": "order_id"}, {"orders": "order_date"}, [("orders", "customer_id", "customers"), ("orders", "product_id", "products")])
+    schema = infer(frames, {"member": "mid", "book": "bid", "loan": "lid"}, {"loan": "start"}, [("loan", "mid", "member"), ("loan", "bid", "book")])
     return Engine(spark, Catalog(schema, frames))
 
 
@@ -33,34 +35,30 @@ def ids(df):
     return {r["entity_id"] for r in df.collect()}
 
 
-EXISTS = "PREDICT EXISTS(orders.*) OVER (30 DAYS FOLLOWING) FROM customers"
-
-
 def test_cohorts(graph):
-    q = f"{EXISTS} WHERE COUNT(orders.*) OVER (180 DAYS PRECEDING) {{}} AS OF 2026-07-01"
-    assert ids(graph.cohort(q.format("> 0"))) == {"C1", "C7"}
-    assert ids(graph.cohort(q.format("= 0"))) == {"C9"}
-    assert ids(graph.cohort(Request(EXISTS, anchor_time=T0, entity_ids=["C1", "C9", "C1"]))) == {"C1", "C9"}
-    assert [tuple(r) for r in graph.pinned(f"{EXISTS} WHERE customer_id IN ('C7', 'X') AS OF 2026-07-01").orderBy("entity_id").collect()] == [("C7", True), ("X", False)]
+    q = f"{MEMBER} WHERE COUNT(loan.*) OVER (60 DAYS PRECEDING) {{}} AS OF 2031-03-01"
+    assert ids(graph.cohort(q.format("> 0"))) == {11, 12}
+    assert ids(graph.cohort(q.format("= 0"))) == {13, 14}
+    assert ids(graph.cohort(Request(MEMBER, anchor_time=NOON, entity_ids=[14, 11, 14]))) == {11, 14}
+    assert [tuple(r) for r in graph.pinned(f"{MEMBER} WHERE mid IN (13, 99) AS OF 2031-03-01").orderBy("entity_id").collect()] == [(13, True), (99, False)]
 
 
 def test_labels(graph):
-    q = "PREDICT SUM(orders.qty) OVER (30 DAYS FOLLOWING) FROM customers WHERE customer_id = 'C1' AS OF 2026-07-01"
-    assert [r["label"] for r in graph.history(q).orderBy("k").collect()] == [1.0, 0.0, 0.0]
-    q = "PREDICT NOT EXISTS(orders.*) OVER (90 DAYS FOLLOWING) FROM customers AS OF 2026-07-01"
-    rows = {(r["entity_id"], r["k"]): r["label"] for r in graph.history(q).collect()}
-    assert all(rows["C9", k] for k in (1, 2, 3)) and not rows["C7", 1] and not rows["C7", 2]
+    q = "PREDICT SUM(loan.days) OVER (28 DAYS FOLLOWING) FROM member WHERE mid = 11 AS OF 2031-03-01"
+    assert [r["label"] for r in graph.history(q).orderBy("k").collect()] == [7.0, 21.0, 9.0]  # after Feb 1, Jan 4 at 0:00 (its loan is at 9:00) and Dec 7
+    rows = {(r["entity_id"], r["k"]): r["label"] for r in graph.history("PREDICT NOT EXISTS(loan.*) OVER (28 DAYS FOLLOWING) FROM member AS OF 2031-03-01").collect()}
+    assert all(rows[13, k] for k in (1, 2, 3)) and not rows[12, 1] and rows[12, 2]
 
 
-def test_zero_score_decodes_to_the_mean_of_past_labels(spark):
-    rows = [(f"{m}-{k}", v, datetime(2026, m, 15), "C1") for m, n, v in ((6, 5, 100.0), (5, 4, 10.0), (4, 1, 3.0)) for k in range(n)]
-    rows = [r for r in rows if r[2].month != 4] + [(f"4-{k}", 1.0, datetime(2026, 4, 15), "C1") for k in range(3)]
-    frames = {"c": spark.createDataFrame([("C1", 1.0)], "id string, x double"), "o": spark.createDataFrame(rows, "oid string, amount double, at timestamp_ntz, cid string")}
+def test_history_means_by_hand(spark):
+    spans = {"2029-09-20": [4.0, 6.5], "2029-08-11": [1.0], "2029-06-30": [2.5, 2.5, 7.0]}  # 40, 80 and 122 days before Oct 30: windows 1, 2 and none of three
+    rows = [(f"{d}/{k}", v, datetime.fromisoformat(d), 1) for d, values in spans.items() for k, v in enumerate(values)]
+    frames = {"c": spark.createDataFrame([(1, 1.0)], "id long, x double"), "o": spark.createDataFrame(rows, "oid string, amount double, at timestamp_ntz, cid long")}
     e = Engine(spark, Catalog(infer(frames, {"c": "id", "o": "oid"}, {"o": "at"}, [("o", "cid", "c")]), frames))
-    for what, want in (("SUM(o.amount)", (500 + 40 + 3) / 3), ("COUNT(o.*)", 4.0), ("AVG(o.amount)", (100 + 10 + 1) / 3)):
-        assert e.execute(f"PREDICT {what} OVER (30 DAYS FOLLOWING) FROM c AS OF 2026-07-01", "history").first()["value"] == pytest.approx(want)
-    forecast = e.execute("PREDICT SUM(o.amount) OVER (30 DAYS FOLLOWING HORIZONS 2) FROM c AS OF 2026-07-01", "history").first()["forecast"]
-    assert forecast == pytest.approx([181, 181])
+    for what, want in (("SUM(o.amount)", (10.5 + 1.0 + 0.0) / 3), ("COUNT(o.*)", 1.0), ("AVG(o.amount)", (5.25 + 1.0) / 2)):
+        assert e.execute(f"PREDICT {what} OVER (40 DAYS FOLLOWING) FROM c AS OF 2029-10-29", "history").first()["value"] == pytest.approx(want)
+    forecast = e.execute("PREDICT COUNT(o.*) OVER (40 DAYS FOLLOWING HORIZONS 3) FROM c AS OF 2029-10-29", "history").first()["forecast"]
+    assert forecast == pytest.approx([1, 1, 1])
 
 
 def rows_of(context, entity):
@@ -68,67 +66,97 @@ def rows_of(context, entity):
 
 
 def test_context_holds_no_future(graph):
-    q = f"{EXISTS} WHERE customer_id = 'C7' AS OF {{}}"
-    assert rows_of(graph.assemble_context(q.format("2026-07-01")), "C7") == {"C7", "O1", "O2", "P1", "P2"}
-    later = rows_of(graph.assemble_context(q.format("2026-08-01")), "C7")
-    assert {"O4", "P3"} <= later
-    one = graph.assemble_context(q.format("2026-07-01"), Policy(bfs_width=1, max_hops=1))
-    assert rows_of(one, "C7") == {"C7", "O2"} and one.first()["truncated"] == 1
-    tiny = graph.assemble_context(q.format("2026-07-01"), Policy(max_context_cells=1))
-    assert rows_of(tiny, "C7") == {"C7"}
-    peers = graph.assemble_context(q.format("2026-07-01"), Policy(max_hops=1, cohort_size=1))
-    assert "C1" in rows_of(peers, "C7")
+    q = f"{MEMBER} WHERE mid = 11 AS OF {{}}"
+    assert rows_of(graph.assemble_context(q.format("2031-03-01")), "11") == {"11", "501", "502", "506", "b-a", "b-k"}
+    assert {"504", "b-w"} <= rows_of(graph.assemble_context(q.format("2031-03-10")), "11")
+    one = graph.assemble_context(q.format("2031-03-01"), Policy(bfs_width=1, max_hops=1))
+    assert rows_of(one, "11") == {"11", "502"} and one.first()["truncated"] == 1
+    assert rows_of(graph.assemble_context(q.format("2031-03-01"), Policy(max_context_cells=1)), "11") == {"11"}
+    assert "12" in rows_of(graph.assemble_context(q.format("2031-03-01"), Policy(max_hops=1, cohort_size=1)), "11")
 
 
 def test_assumptions(graph):
-    def orders(what, who):
-        q = f"{EXISTS} WHERE customer_id = '{who}' ASSUMING {what} AS OF 2026-07-01"
-        return graph.assemble_context(q).where("tbl = 'orders' AND is_focal").collect()
-
-    made = orders("COUNT(orders.*) OVER (180 DAYS PRECEDING) >= 3", "C9")
-    assert len(made) == 3 and all(datetime(2026, 1, 2) < r["ts"] <= T0 and r["parents"]["customer_id"] == "C9" for r in made)
-    assert {r["row_id"] for r in orders("COUNT(orders.*) OVER (365 DAYS PRECEDING) = 1", "C7")} == {"O2"}
-    assert orders("NOT EXISTS(orders.*)", "C7") == []
-    assert len(orders("EXISTS(orders.*)", "C9")) == 1
-    for bad in ("orders.qty > 3", "COUNT(orders.*) < 0", "COUNT(orders.*) = 1.5", "SUM(orders.qty) = 3", "COUNT(orders.* WHERE qty > 1) = 1", "customers.age = 3 OR customers.age = 4", "COUNT(customers.*) = 2"):
+    def loans(what, who):
+        q = f"{MEMBER} WHERE mid = {who} ASSUMING {what} AS OF 2031-03-01"
+        return graph.assemble_context(q).where("tbl = 'loan' AND is_focal").collect()
+
+    made = loans("COUNT(loan.*) OVER (30 DAYS PRECEDING) >= 4", 13)
+    assert len(made) == 4 and all(datetime(2031, 1, 30) < r["ts"] <= NOON and r["parents"]["mid"] == "13" for r in made)
+    assert {r["row_id"] for r in loans("COUNT(loan.*) OVER (100 DAYS PRECEDING) = 2", 11)} == {"501", "502"}
+    assert loans("NOT EXISTS(loan.*)", 12) == []
+    for bad in ("loan.days > 3", "COUNT(loan.*) < 0", "COUNT(loan.*) = 2.5", "MAX(loan.days) = 3", "COUNT(loan.* WHERE days > 1) = 1", "member.fees = 3 OR member.fees = 4", "COUNT(member.*) = 2"):
         with pytest.raises(QueryError):
-            orders(bad, "C7")
-    aged = graph.assemble_context(f"{EXISTS} ASSUMING customers.age = 99 AS OF 2026-07-01").where("tbl = 'customers' AND hop = 0").collect()
-    assert {r["cells"]["age"] for r in aged} == {"99"}
+            loans(bad, 11)
+    with pytest.raises(Exception, match="too narrow"):
+        loans("COUNT(loan.*) OVER (3 SECONDS PRECEDING) >= 9", 13)
+    moved = graph.assemble_context(f"{MEMBER} ASSUMING member.branch = 'west' AS OF 2031-03-01").where("tbl = 'member' AND hop = 0").collect()
+    assert {r["cells"]["branch"] for r in moved} == {"west"}
 
 
 def test_ablation(graph):
-    q = f"{EXISTS} WHERE customer_id = 'C7' AS OF 2026-07-01"
+    q = f"{MEMBER} WHERE mid = 11 AS OF 2031-03-01"
     got = {(r["kind"], r["name"]): r["mean_delta"] for r in graph.ablation(q).collect()}
-    assert got["table", "products"] == -4 and got["column", "customers.age"] == -1
+    assert got["table", "book"] == -4 and got["column", "member.fees"] == -1 and got["table", "loan"] == -6
     score = lambda c: c.groupBy("entity_id").agg(F.sum("n_cells").cast("double").alias("score"))
     assert {(r["kind"], r["name"]): r["mean_delta"] for r in graph.ablation(q, score).collect()} == got
-    assert rows_of(graph.assemble_context(f"{EXISTS} WHERE customer_id = 'C7' ABLATE TABLE products AS OF 2026-07-01"), "C7") == {"C7", "O1", "O2"}
+    assert rows_of(graph.assemble_context(f"{MEMBER} WHERE mid = 11 ABLATE TABLE book AS OF 2031-03-01"), "11") == {"11", "501", "502", "506"}
 
 
 def test_explain(graph):
-    plan = graph.explain(f"EXPLAIN PLAN FORMAT JSON {EXISTS} WHERE customer_id IN ('C7', 'C1') AS OF 2026-07-01")
-    assert plan["plan"]["entity"]["selector"] == ["C7", "C1"] and plan["plan"]["execution"]["cohort_size"] == 2 and '"task_type": "binary"' in render(plan)
-    context = graph.explain(f"EXPLAIN CONTEXT {EXISTS} WHERE customer_id = 'C7' AS OF 2026-07-01")
-    assert {r["tbl"]: r["n_rows"] for r in context["context"]} == {"customers": 1, "orders": 2, "products": 2} and "context:" in render(context)
-    analyzed = graph.explain(f"EXPLAIN ANALYZE PREDICT SUM(orders.qty) OVER (30 DAYS FOLLOWING) FROM customers AS OF 2026-07-01", "history")
-    assert analyzed["predictions"].count() == 3
-    assert graph.explain(f"EXPLAIN ABLATE {EXISTS} AS OF 2026-07-01")["ablation"]
+    plan = graph.explain(f"EXPLAIN PLAN FORMAT JSON {MEMBER} WHERE mid IN (12, 11) AS OF 2031-03-01")
+    assert plan["plan"]["entity"]["selector"] == [12, 11] and plan["plan"]["execution"]["cohort_size"] == 2 and '"task_type": "binary"' in render(plan)
+    context = graph.explain(f"EXPLAIN CONTEXT {MEMBER} WHERE mid = 11 AS OF 2031-03-01")
+    assert {r["tbl"]: r["n_rows"] for r in context["context"]} == {"member": 1, "loan": 3, "book": 2} and "context:" in render(context)
+    assert context["links"] == ["loan.mid -> member", "loan.bid -> book"] and context["unreached"] == []
+    analyzed = graph.explain("EXPLAIN ANALYZE PREDICT SUM(loan.days) OVER (30 DAYS FOLLOWING) FROM member AS OF 2031-03-01", "history")
+    assert analyzed["predictions"].count() == 4
     with pytest.raises(ExecutionFault):
-        graph.execute(f"EXPLAIN {EXISTS} AS OF 2026-07-01", "truth")
+        graph.execute(f"EXPLAIN {MEMBER} AS OF 2031-03-01", "truth")
 
 
 def test_scorers_and_anchors(graph):
     with pytest.raises(ScoringFault):
-        graph.execute(f"{EXISTS} AS OF 2026-07-01")
+        graph.execute(f"{MEMBER} AS OF 2031-03-01")
     with pytest.raises(ExecutionFault):
-        graph.cohort(f"{EXISTS} WHERE COUNT(orders.*) > 1")
+        graph.cohort(f"{MEMBER} WHERE COUNT(loan.*) > 1")
     with pytest.raises(ExecutionFault):
-        graph.cohort(f"{EXISTS} AS OF NOW")
-    assert {r["entity_id"]: r["label"] for r in graph.execute(Request(f"{EXISTS} AS OF NOW", anchor_time=T0), "truth").collect()} == {"C1": 0, "C7": 1, "C9": 0}
+        graph.cohort(f"{MEMBER} AS OF NOW")
+    assert {r["entity_id"]: r["label"] for r in graph.execute(Request(f"{MEMBER} AS OF NOW", anchor_time=NOON), "truth").collect()} == {11: 1, 12: 0, 13: 0, 14: 0}
     model = TokenScorer(lambda batch: batch["tbl"].map(len).astype(float))
-    scored = graph.execute(f"PREDICT SUM(orders.qty) OVER (30 DAYS FOLLOWING) FROM customers WHERE customer_id = 'C7' AS OF 2026-07-01", model).first()
-    assert scored["value"] == 1 + 3 + 2 + 4 + 4  # target, labels, and the cells of C7, of two orders and of two products
+    scored = graph.execute("PREDICT SUM(loan.days) OVER (30 DAYS FOLLOWING) FROM member WHERE mid = 11 AS OF 2031-03-01", model).first()
+    assert scored["value"] == 1 + 3 + 3 + 6 + 4  # target, labels, and the cells of the member, of three loans and of two books
+
+
+def test_no_time_zone_moves_an_anchor(graph, monkeypatch):
+    import os
+    import time
+
+    was = os.environ.get("TZ")
+    try:
+        for zone in ("America/New_York", "Asia/Tokyo"):
+            monkeypatch.setenv("TZ", zone)
+            time.tzset()
+            at = datetime(2031, 2, 20, 17, 30)
+            assert {r["lid"] for r in graph.catalog.bounded("loan", at).collect()} == {501, 502, 505, 506}
+            assert {r["lid"] for r in graph.catalog.rows("loan", [502, 503], at.replace(hour=17, minute=29)).collect()} == set()
+            assert graph.candidates(Request("PREDICT LIST_DISTINCT(loan.bid) OVER (9 DAYS FOLLOWING RANK TOP 1) FROM member", anchor_time=at)).count() == 3
+    finally:
+        monkeypatch.undo() if was is None else os.environ.__setitem__("TZ", was)
+        time.tzset()
+
+
+def test_own_anchors_see_no_future(spark):
+    day = lambda d: datetime(2031, 5, d)
+    rows = [(1, "red", 1.0, day(2)), (2, "red", 2.0, day(4)), (3, "blue", 6.0, day(4)), (4, "blue", 9.0, day(7)), (5, "blue", 4.0, day(9)), (6, "red", 5.0, None)]
+    frames = {"t": spark.createDataFrame(rows, "id long, colour string, x double, at timestamp_ntz")}
+    e = Engine(spark, Catalog(infer(frames, {"t": "id"}, {"t": "at"}, []), frames))
+    ask = lambda what: Request(f"PREDICT {what} FROM t", anchor_time=day(8), per_entity_anchor=True)
+    got = {(r["anchor_ts"].day, r["class"]): r["n"] for r in e.class_domain(ask("colour")).collect()}
+    assert got == {(2, "red"): 2, (4, "red"): 3, (4, "blue"): 1, (7, "red"): 3, (7, "blue"): 2, (8, "red"): 3, (8, "blue"): 2}
+    best = {r["entity_id"]: r["predicted_class"] for r in e.execute(ask("colour"), "history").collect()}
+    assert best == {1: "red", 2: "red", 3: "red", 4: "red", 6: "blue"}
+    mean = {r["entity_id"]: r["value"] for r in e.execute(ask("x"), "history").collect()}
+    assert mean == {1: 5.0, 2: 4.0, 3: pytest.approx(8 / 3), 4: 3.5, 6: 4.5}
 
 
 def test_dangling_and_several_parents(spark):
@@ -142,14 +170,15 @@ def test_dangling_and_several_parents(spark):
 def test_walk_peers_and_stats(graph):
     from tideline.operators.walks import walk_peers
 
-    q = f"{EXISTS} AS OF 2026-08-01"
-    cohort = graph.prepare(q).cohort
-    found = walk_peers(cohort, graph.catalog, "customers", datetime(2026, 8, 1), Policy(walk_length=6), walks=12)
-    rows = {(r["entity_id"], r["peer_id"]): r["visits"] for r in found.collect()}
-    assert rows.get(("C7", "C1"), 0) > 0 and not any("C9" in k for k in rows)
-    again = walk_peers(cohort.repartition(7), graph.catalog, "customers", datetime(2026, 8, 1), Policy(walk_length=6), walks=12)
+    cohort = graph.prepare(f"{MEMBER} AS OF 2031-03-01").cohort
+    policy = Policy(walk_length=6, num_walks=12)
+    rows = {(r["entity_id"], r["peer_id"]): r["visits"] for r in walk_peers(cohort, graph.catalog, "member", NOON, policy).collect()}
+    assert rows.get(("11", "12"), 0) > 0 and not any("13" in k or "14" in k for k in rows if k != ("11", "14"))
+    again = walk_peers(cohort.repartition(7), graph.catalog, "member", NOON, policy)
     assert {(r["entity_id"], r["peer_id"]): r["visits"] for r in again.collect()} == rows
-    assert graph.stats(f"{EXISTS} WHERE customer_id = 'C7' AS OF 2026-07-01") == {"entities": 1, "truncated_contexts": 0, "truncations": 0}
+    assert graph.stats(f"{MEMBER} WHERE mid = 11 AS OF 2031-03-01") == {"entities": 1, "truncated_contexts": 0, "truncations": 0}
+    walking = Engine(graph.spark, graph.catalog, policy=Policy(max_hops=1, walk_length=6, num_walks=12), traversal="walks")
+    assert "12" in rows_of(walking.assemble_context(f"{MEMBER} WHERE mid = 11 AS OF 2031-03-01"), "11")
 
 
 def test_scores_to_predictions(spark):
@@ -184,18 +213,18 @@ def test_remote_scorer(graph):
     server = HTTPServer(("127.0.0.1", 0), Handler)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     scorer = RemoteScorer(f"http://127.0.0.1:{server.server_port}/v1/score", batch=2)
-    rows = graph.execute("PREDICT SUM(orders.qty) OVER (30 DAYS FOLLOWING) FROM customers WHERE customer_id = 'C7' AS OF 2026-07-01", scorer).collect()
+    rows = graph.execute("PREDICT SUM(loan.days) OVER (30 DAYS FOLLOWING) FROM member WHERE mid = 11 AS OF 2031-03-01", scorer).collect()
     server.shutdown()
-    assert [r["value"] for r in rows] == [14.0]
+    assert [r["value"] for r in rows] == [17.0]
 
 
 def test_rescoring_stream(graph, spark, tmp_path):
     from tideline.streaming import rescore
 
     path = str(tmp_path / "in")
-    graph.catalog.frame("orders").write.parquet(path)
-    stream = spark.readStream.schema(graph.catalog.frame("orders").schema).parquet(path)
+    graph.catalog.frame("loan").write.parquet(path)
+    stream = spark.readStream.schema(graph.catalog.frame("loan").schema).parquet(path)
     got = []
-    q = rescore(graph, stream, "order_date", Request("PREDICT COUNT(orders.*) OVER (90 DAYS FOLLOWING) FROM customers"), lambda df, n: got.append(df.count()), str(tmp_path / "check"))
+    q = rescore(graph, stream, "start", Request("PREDICT COUNT(loan.*) OVER (90 DAYS FOLLOWING) FROM member"), lambda df, n: got.append(df.count()), str(tmp_path / "check"))
     q.awaitTermination(120)
-    assert got == [3]
+    assert got == [4]

@@ -22,9 +22,14 @@ from .aggregates import ANCHOR
 COLUMNS = ["entity_id", "anchor_ts", "tbl", "row_id", "hop", "ts", "is_focal", "cells", "parents", "n_cells"]
 
 
+#: Parents that a row of a context carries, the first links by declaration.
+MOST_PARENTS = 5
+
+
 @dataclass(frozen=True)
 class Policy:
-    """Limits of a context. ``cohort_size`` peers: other rows of the entity's table, the first by key."""
+    """Limits of a context. ``cohort_size`` peers: other rows of the entity's table, the first by key. The walking traversal
+    reads ``num_walks``, ``walk_length``, ``seed`` and ``local_context_cells`` as well."""
 
     max_context_cells: int = 2048
     local_context_cells: int = 256
@@ -53,6 +58,7 @@ def nodes(catalog: Catalog, table: str) -> DataFrame:
     pairs += [F.struct(F.lit(x.fk).alias("key"), F.col(x.fk).cast("string").alias("value")) for x in links if x.feature]
     keys = [F.struct(F.lit(x.fk).alias("key"), F.col(x.fk).cast("string").alias("value")) for x in links]
     none = F.expr("cast(map() as map<string,string>)")
+    keys = keys[:MOST_PARENTS]
     there = lambda xs: F.map_from_entries(F.filter(F.array(*xs), lambda x: x["value"].isNotNull())) if xs else none
     time = F.col(spec.time).cast("timestamp_ntz") if spec.time else F.lit(None).cast("timestamp_ntz")
     made = catalog.frame(table).select(F.lit(table).alias("tbl"), row_id(catalog, table).alias("row_id"), time.alias("ts"), there(pairs).alias("cells"), there(keys).alias("parents"))

@@ -112,10 +112,9 @@ def assume_count(context: DataFrame, catalog: Catalog, entity: str, n: int, agg:
     high = anchor if agg.frame.end in (float("inf"),) else anchor + timedelta(seconds=agg.frame.end)
     most = float("inf") if agg.frame.start == float("-inf") else (high - anchor).total_seconds() - agg.frame.start
     short = counted.where("want > c")
-    failed = short.where(F.col("__from").isNull() | (F.col("want") - F.col("c") >= F.lit(most))).limit(1).collect()
-    if failed:
-        raise ExecutionFault(f"no row of {table} to copy, or the frame is too narrow for the assumed count")
-    clones = short.withColumn("i", F.explode(F.sequence(F.lit(1), (F.col("want") - F.col("c")).cast("int"))))
+    failed = F.col("__from").isNull() | (F.col("want") - F.col("c") >= F.lit(most))
+    message = F.lit(f"no row of {table} to copy, or the frame is too narrow for the assumed count")
+    clones = short.withColumn("i", F.explode(F.when(failed, F.raise_error(message).cast("array<int>")).otherwise(F.sequence(F.lit(1), (F.col("want") - F.col("c")).cast("int")))))
     ts = literal(high) - F.make_dt_interval(secs=F.col("i").cast("double"))
     cells = F.col("__from.cells")
     if time:

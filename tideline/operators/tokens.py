@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 
 from ..lang import ast as A
 from ..schema import BOOLEAN, DATETIME, NUMBER, TEXT, Catalog
-from .context import nodes
+from .context import MOST_PARENTS  # noqa: F401
 
 #: Codes of the types.
 CODES = {NUMBER: 0, TEXT: 1, DATETIME: 2, BOOLEAN: 3}
-MOST_PARENTS = 5
 
 
 def column_stats(catalog: Catalog, anchor: object | None) -> DataFrame:
@@ -73,9 +72,3 @@ def tokens(context: DataFrame, catalog: Catalog, s: A.Statement, labels: DataFra
     order = Window.partitionBy("entity_id").orderBy("__order", "hop", F.col("ts").desc_nulls_last(), "tbl", "row_id", "col")
     rows = rows.withColumn("pos", F.row_number().over(order) - 1).where(F.col("pos") < max_len)
     return rows.select("entity_id", "pos", "kind", "tbl", "col", "code", "text", "number", "z")
-
-
-def parent_counts(catalog: Catalog) -> DataFrame:
-    """(tbl, row_id, n): rows with more parents than a node can carry."""
-    counted = [nodes(catalog, t).select("tbl", "row_id", F.size("parents").alias("n")) for t in catalog.schema.tables]
-    return reduce(DataFrame.union, counted).where(F.col("n") > MOST_PARENTS)

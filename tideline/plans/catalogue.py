@@ -16,7 +16,7 @@ from ..functions import scoring
 from ..lang.parser import parse
 from ..operators import context as contexts
 from ..operators import tokens
-from ..schema import shop
+from ..schema import shop, shop_features
 from . import validate as V
 from .engine import Engine, Request
 
@@ -244,6 +244,28 @@ add("multi_entity_anchor", lambda e: plain(e.truth(Request("PREDICT COUNT(lineit
     SELECT o_orderkey AS entity_id, CAST(count(*) FILTER (WHERE l_shipdate > o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 30 DAY) AS DOUBLE) AS label FROM orders JOIN lineitem ON l_orderkey = o_orderkey
     WHERE o_orderdate <= TIMESTAMP '{A}' AND o_orderpriority = '1-URGENT' GROUP BY 1 HAVING count(*) FILTER (WHERE l_shipdate > o_orderdate - INTERVAL 30 DAY AND l_shipdate <= o_orderdate) > 0""")
 
+add("rank_scores", lambda e: plain(e.score_candidates(PARTS.replace("RANK TOP 5", "RANK TOP 3")).where("probability > 0")), f"""
+    WITH c AS (SELECT p_partkey FROM part ORDER BY 1 LIMIT 1000)
+    SELECT l_suppkey AS entity_id, l_partkey AS candidate, round(count(DISTINCT k) / 3, 4) AS probability FROM lineitem JOIN range(1, 4) r(k)
+        ON l_shipdate > TIMESTAMP '{A}' - INTERVAL (k * 360) DAY AND l_shipdate <= TIMESTAMP '{A}' - INTERVAL ((k - 1) * 360) DAY WHERE l_partkey IN (FROM c) GROUP BY 1, 2""")
+OWN = Request("PREDICT o_orderstatus FROM orders RETURN CLASS", anchor_time=WHEN[A], per_entity_anchor=True)
+add("class_domain_own_anchor", lambda e: e.class_domain(OWN), f"""
+    WITH a AS (SELECT DISTINCT o_orderdate AS anchor_ts FROM orders WHERE o_orderdate <= TIMESTAMP '{A}'), d AS (SELECT o_orderdate, o_orderstatus AS class, count(*) AS n FROM orders GROUP BY 1, 2)
+    SELECT anchor_ts, class, CAST(sum(n) AS BIGINT) AS n FROM a JOIN d ON o_orderdate <= anchor_ts GROUP BY 1, 2""")
+add("peer_class_own_anchor", lambda e: e.execute(OWN, "history"), f"""
+    WITH a AS (SELECT DISTINCT o_orderdate AS seen FROM orders WHERE o_orderdate <= TIMESTAMP '{A}'), d AS (SELECT o_orderdate, o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1, 2),
+    t AS (SELECT seen, s, sum(n) AS n FROM a JOIN d ON o_orderdate <= seen GROUP BY 1, 2)
+    SELECT o_orderkey AS entity_id, first(s ORDER BY n - (s = o_orderstatus)::INT DESC, s) AS predicted_class FROM orders JOIN t ON seen = o_orderdate WHERE o_orderdate <= TIMESTAMP '{A}' GROUP BY 1""")
+add("peer_mean_own_anchor", lambda e: plain(e.execute(Request("PREDICT o_totalprice FROM orders", anchor_time=WHEN[A], per_entity_anchor=True), "history")), f"""
+    WITH d AS (SELECT o_orderdate AS seen, sum(o_totalprice) AS x, count(*) AS n FROM orders WHERE o_orderdate <= TIMESTAMP '{A}' GROUP BY 1), t AS (SELECT seen, sum(x) OVER (ORDER BY seen) AS x, sum(n) OVER (ORDER BY seen) AS n FROM d)
+    SELECT o_orderkey AS entity_id, CASE WHEN n > 1 THEN round((x - o_totalprice) / (n - 1), 4) END AS value FROM orders JOIN t ON seen = o_orderdate""")
+add("classify_counts", lambda e: e.execute(f"PREDICT COUNT(orders.*) OVER (90 DAYS FOLLOWING) > 0 CLASSIFY {FROM_A} RETURN CLASS", "history"), f"""
+    SELECT c_custkey AS entity_id, CASE WHEN {" + ".join(f"CAST(count(*) FILTER (WHERE {past(k, 90)}) > 0 AS INTEGER)" for k in (1, 2, 3))} >= 2 THEN 'true' ELSE 'false' END AS predicted_class {_each}""")
+add("inferred_population", lambda e: e.cohort(f"PREDICT customer.c_acctbal WHERE customer.c_acctbal > 0 AS OF {A}").select("entity_id"), f"{WHO} c_acctbal > 0")
+add("clauses_in_any_order", lambda e: e.cohort(f"predict exists(orders.*) over w /* a comment */ from customer as c as of {A} window w as (30 days following) where c.c_acctbal > 0 -- the end").select("entity_id"), f"{WHO} c_acctbal > 0")
+add("lookup_as_of", lambda e: e.catalog.rows("orders", [1, 2, 3, 5, 8, 13], WHEN[A]).select("o_orderkey", "o_totalprice"), f"SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (1, 2, 3, 5, 8, 13) AND o_orderdate <= TIMESTAMP '{A}'")
+add("scan_as_of", lambda e: e.catalog.bounded("orders", WHEN[A]).select("o_orderkey"), f"SELECT o_orderkey FROM orders WHERE o_orderdate <= TIMESTAMP '{A}'")
+
 # -- driver-side results
 
 STATEMENTS = {
@@ -257,61 +279,64 @@ add("dangling_links", lambda e: e.catalog.dangling(), " UNION ALL ".join(
     f"SELECT '{c}' AS child, '{k}' AS fk, '{p}' AS parent, count(*) AS n FROM {c} WHERE {k} IS NOT NULL AND NOT EXISTS (FROM {p} WHERE {pk} = {k})"
     for c, k, p, pk in (("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"),
                         ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("events", "user_id", "customer", "c_custkey"))))
-_stat = lambda t, c, x, w="": f"SELECT '{t}' AS tbl, '{c}' AS col, count({x}) AS n, round(avg({x}), 4) AS mean, round(stddev_pop({x}), 4) AS std FROM {t}{w}"
-add("col_stats", lambda e: plain(tokens.column_stats(e.catalog, WHEN[A]).where(F.col("tbl").isin("customer", "orders", "part") & F.col("col").isin("c_acctbal", "o_totalprice", "p_size", "p_retailprice"))),
-    " UNION ALL ".join([_stat("customer", "c_acctbal", "c_acctbal"), _stat("orders", "o_totalprice", "o_totalprice", f" WHERE o_orderdate <= TIMESTAMP '{A}'"), _stat("part", "p_size", "p_size"), _stat("part", "p_retailprice", "p_retailprice")]))
+_stat = lambda t, c, x, w="": f"SELECT '{t}' AS tbl, '{c}' AS col, count({x}) AS n, round(avg({x}), 3) AS mean, round(stddev_pop({x}), 2) AS std FROM {t}{w}"
+_times = {"orders": f" WHERE o_orderdate <= TIMESTAMP '{A}'", "lineitem": f" WHERE l_shipdate <= TIMESTAMP '{A}'", "events": f" WHERE ts <= TIMESTAMP '{A}'"}
+add("col_stats", lambda e: tokens.column_stats(e.catalog, WHEN[A]).select("tbl", "col", "n", F.round("mean", 3).alias("mean"), F.round("std", 2).alias("std")), " UNION ALL ".join(
+    _stat(t, c, f"epoch({c})" if kind == "DATETIME" else c, _times.get(t, "")) for t, columns in shop_features().items() for c, kind in columns.items() if kind != "TEXT"))
 
 # -- contexts
 
-FEW = f"PREDICT EXISTS(orders.*) OVER (30 DAYS FOLLOWING) FROM customer WHERE c_custkey IN (1, 2, 3, 5, 8, 13, 21, 34) AS OF {A}"
-_few = "(1, 2, 3, 5, 8, 13, 21, 34)"
-_child = f"""o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR)) AS n FROM orders WHERE o_orderdate <= TIMESTAMP '{A}' AND o_custkey IN {_few})"""
+ALL = f"PREDICT EXISTS(orders.*) OVER (30 DAYS FOLLOWING) FROM customer AS OF {A}"
+_child = f"""o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR)) AS n FROM orders WHERE o_orderdate <= TIMESTAMP '{A}')"""
 ONE_HOP = contexts.Policy(max_hops=1, bfs_width=4)
 _ctx = f"""WITH {_child}, c AS (
-    SELECT CAST(c_custkey AS VARCHAR) AS entity_id, 'customer' AS tbl, CAST(c_custkey AS VARCHAR) AS row_id, 0 AS hop, 3 AS n_cells FROM customer WHERE c_custkey IN {_few}
-    UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'nation', CAST(c_nationkey AS VARCHAR), 1, 1 FROM customer WHERE c_custkey IN {_few}
+    SELECT CAST(c_custkey AS VARCHAR) AS entity_id, 'customer' AS tbl, CAST(c_custkey AS VARCHAR) AS row_id, 0 AS hop, 3 AS n_cells FROM customer
+    UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'nation', CAST(c_nationkey AS VARCHAR), 1, 1 FROM customer
     UNION ALL SELECT CAST(o_custkey AS VARCHAR), 'orders', CAST(o_orderkey AS VARCHAR), 1, 4 FROM o WHERE n <= 4)"""
 add("ctx_children_topk", lambda e: contexts.children(e.catalog, "orders", "o_custkey", e.catalog.frame("customer").select(F.col("c_custkey").alias("key")), WHEN[A], 3).select("parent_id", "o_orderkey", "place"), f"""
     SELECT o_custkey AS parent_id, o_orderkey, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS INTEGER) AS place FROM orders WHERE o_orderdate <= TIMESTAMP '{A}') WHERE place <= 3""")
 
 
-def add_contexts(few: str, suffix: str = "", sql: Callable[[str], str] = lambda text: text) -> None:
-    """The queries over contexts of the population of ``few``, named with ``suffix``, their SQL by way of ``sql``."""
-    FEW, put = few, lambda name, f, text: add(name + suffix, f, sql(text))  # noqa: E731, N806
-    put("ctx_parents", lambda e: e.assemble_context(FEW, ONE_HOP).where("tbl = 'nation'").select("entity_id", "row_id"), f"SELECT CAST(c_custkey AS VARCHAR) AS entity_id, CAST(c_nationkey AS VARCHAR) AS row_id FROM customer WHERE c_custkey IN {_few}")
-    put("ctx_bfs1", lambda e: e.assemble_context(FEW, ONE_HOP).select("entity_id", "tbl", "row_id", "hop", "n_cells"), f"{_ctx} SELECT entity_id, tbl, row_id, hop, n_cells FROM c")
-    put("ctx_bfs2", lambda e: e.assemble_context(FEW, contexts.Policy(max_hops=2, bfs_width=2, max_context_cells=10_000)).where("tbl IN ('customer', 'orders', 'region')").groupBy("entity_id", "tbl", "hop").agg(F.count("*").alias("n")), f"""
-    WITH {_child}, mine AS (SELECT * FROM customer WHERE c_custkey IN {_few}),
+add("ctx_parents", lambda e: e.assemble_context(ALL, ONE_HOP).where("tbl = 'nation'").select("entity_id", "row_id"), f"SELECT CAST(c_custkey AS VARCHAR) AS entity_id, CAST(c_nationkey AS VARCHAR) AS row_id FROM customer")
+add("ctx_bfs1", lambda e: e.assemble_context(ALL, ONE_HOP).select("entity_id", "tbl", "row_id", "hop", "n_cells"), f"{_ctx} SELECT entity_id, tbl, row_id, hop, n_cells FROM c")
+add("ctx_bfs2", lambda e: e.assemble_context(ALL, contexts.Policy(max_hops=2, bfs_width=2, max_context_cells=10_000)).where("tbl <> 'lineitem'").groupBy("entity_id", "tbl", "hop").agg(F.count("*").alias("n")), f"""
+    WITH {_child}, mine AS (SELECT * FROM customer),
     near AS (SELECT m.c_custkey AS e, c.c_custkey AS k, row_number() OVER (PARTITION BY m.c_custkey ORDER BY CAST(c.c_custkey AS VARCHAR)) AS n FROM mine m JOIN customer c ON c.c_nationkey = m.c_nationkey)
     SELECT CAST(c_custkey AS VARCHAR) AS entity_id, 'customer' AS tbl, 0 AS hop, 1 AS n FROM mine
     UNION ALL SELECT CAST(o_custkey AS VARCHAR), 'orders', 1, count(*) FROM o WHERE n <= 2 GROUP BY 1
+    UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'nation', 1, 1 FROM mine
     UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'region', 2, 1 FROM mine
+    UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'supplier', 2, least(2, count(*)) FROM mine JOIN supplier ON s_nationkey = c_nationkey GROUP BY c_custkey
     UNION ALL SELECT CAST(e AS VARCHAR), 'customer', 2, count(*) FROM near WHERE n <= 2 AND k <> e GROUP BY 1 HAVING count(*) > 0""")
-    put("ctx_report", lambda e: contexts.report(e.assemble_context(FEW, ONE_HOP)).select("tbl", "n_rows", "n_cells"), f"{_ctx} SELECT tbl, count(*) AS n_rows, CAST(sum(n_cells) AS BIGINT) AS n_cells FROM c GROUP BY 1")
-    put("ablate_effect", lambda e: e.assemble_context(FEW.replace(" AS OF", " ABLATE TABLE orders AS OF"), ONE_HOP).groupBy("entity_id").agg(F.sum("n_cells").alias("n_cells")), f"{_ctx} SELECT entity_id, CAST(sum(n_cells) AS BIGINT) AS n_cells FROM c WHERE tbl <> 'orders' GROUP BY 1")
-    put("ablation_report", lambda e: plain(Engine(e.spark, e.catalog, policy=ONE_HOP).ablation(FEW).where("kind = 'table'").select("name", "mean_delta", "max_abs_delta")), f"""
-    {_ctx}, s AS (SELECT tbl, entity_id, sum(n_cells) AS x FROM c GROUP BY 1, 2)
-    SELECT name, round(coalesce(-sum(x) / 8, 0.0), 4) AS mean_delta, CAST(coalesce(max(x), 0) AS DOUBLE) AS max_abs_delta
-    FROM (VALUES ('nation'), ('region'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events')) t(name) LEFT JOIN s ON s.tbl = name GROUP BY 1""")
-    put("assume_assign", lambda e: e.assemble_context(FEW.replace(" AS OF", " ASSUMING c_mktsegment = 'MOON' AS OF"), ONE_HOP).where("tbl = 'customer'").select("entity_id", "row_id", F.col("cells")["c_mktsegment"].alias("segment")),
-    f"SELECT CAST(c_custkey AS VARCHAR) AS entity_id, CAST(c_custkey AS VARCHAR) AS row_id, 'MOON' AS segment FROM customer WHERE c_custkey IN {_few}")
-    _counted = f"SELECT CAST(c_custkey AS VARCHAR) AS entity_id, CAST({{}}(count(o_orderkey), {{}}) AS BIGINT) AS n FROM customer LEFT JOIN o ON o_custkey = c_custkey AND n <= 4 WHERE c_custkey IN {_few} GROUP BY 1"
-    _orders = lambda e, what: e.assemble_context(FEW.replace(" AS OF", f" ASSUMING {what} AS OF"), ONE_HOP).groupBy("entity_id").agg(F.count(F.when(F.col("tbl") == "orders", 1)).alias("n"))
-    put("assume_count_add", lambda e: _orders(e, "COUNT(orders.*) OVER (UNBOUNDED PRECEDING) >= 7"), f"WITH {_child} {_counted.format('greatest', 7)}")
-    put("assume_count_drop", lambda e: _orders(e, "COUNT(orders.*) OVER (UNBOUNDED PRECEDING) <= 2"), f"WITH {_child} {_counted.format('least', 2)}")
-    put("assume_not_exists", lambda e: _orders(e, "NOT EXISTS(orders.*)"), f"WITH {_child} {_counted.format('least', 0)}")
-    put("token_rows", lambda e: Engine(e.spark, e.catalog, policy=ONE_HOP).token_rows(FEW).groupBy("entity_id", "kind").agg(F.count("*").alias("n")), f"""
-    {_ctx} SELECT entity_id, 'cell' AS kind, CAST(sum(n_cells) AS BIGINT) AS n FROM c GROUP BY 1
-    UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'target', 1 FROM customer WHERE c_custkey IN {_few} UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'label', 3 FROM customer WHERE c_custkey IN {_few}""")
-
-
-def over_all(text: str) -> str:
-    """SQL for eight customers as SQL for the whole table."""
-    return text.replace(f" AND o_custkey IN {_few}", "").replace(f" WHERE c_custkey IN {_few}", "").replace("-sum(x) / 8", "-sum(x) / (SELECT count(*) FROM customer)")
-
-
-add_contexts(FEW)
-add_contexts(FEW.replace(f" WHERE c_custkey IN {_few}", ""), "_all", over_all)
+add("ctx_report", lambda e: contexts.report(e.assemble_context(ALL, ONE_HOP)).select("tbl", "n_rows", "n_cells"), f"{_ctx} SELECT tbl, count(*) AS n_rows, CAST(sum(n_cells) AS BIGINT) AS n_cells FROM c GROUP BY 1")
+add("ablate_effect", lambda e: e.assemble_context(ALL.replace(" AS OF", " ABLATE TABLE orders AS OF"), ONE_HOP).groupBy("entity_id").agg(F.sum("n_cells").alias("n_cells")), f"{_ctx} SELECT entity_id, CAST(sum(n_cells) AS BIGINT) AS n_cells FROM c WHERE tbl <> 'orders' GROUP BY 1")
+_tables = ("nation", "region", "supplier", "part", "orders", "lineitem", "events")
+_features = [(t, c) for t, columns in shop_features().items() for c in columns]
+_within = {"customer": 3, "nation": 1, "orders": 4}
+add("ablation_report", lambda e: plain(Engine(e.spark, e.catalog, policy=ONE_HOP).ablation(ALL).select("kind", "name", "mean_delta", "mean_abs_delta", "max_abs_delta")), f"""
+    {_ctx}, s AS (SELECT tbl, entity_id, sum(n_cells) AS x FROM c GROUP BY 1, 2),
+    w AS (SELECT * FROM (VALUES {", ".join([f"('table', '{t}', '{t}', 1)" for t in _tables] + [f"('column', '{t}.{c}', '{t}', {_within.get(t, 1)})" for t, c in _features])}) t(kind, name, tbl, per)),
+    d AS (SELECT kind, name, coalesce(sum(x / per), 0) / (SELECT count(*) FROM customer) AS m, CAST(coalesce(max(x / per), 0) AS DOUBLE) AS most FROM w LEFT JOIN s USING (tbl) GROUP BY kind, name)
+    SELECT kind, name, round(0 - m, 4) AS mean_delta, round(m, 4) AS mean_abs_delta, most AS max_abs_delta FROM d""")
+add("assume_assign", lambda e: e.assemble_context(ALL.replace(" AS OF", " ASSUMING c_mktsegment = 'MOON' AS OF"), ONE_HOP).where("tbl = 'customer'").select("entity_id", "row_id", F.col("cells")["c_mktsegment"].alias("segment")),
+    f"SELECT CAST(c_custkey AS VARCHAR) AS entity_id, CAST(c_custkey AS VARCHAR) AS row_id, 'MOON' AS segment FROM customer")
+_counted = f"SELECT CAST(c_custkey AS VARCHAR) AS entity_id, CAST({{}}(count(o_orderkey), {{}}) AS BIGINT) AS n FROM customer LEFT JOIN o ON o_custkey = c_custkey AND n <= 4 GROUP BY 1"
+_orders = lambda e, what: e.assemble_context(ALL.replace(" AS OF", f" ASSUMING {what} AS OF"), ONE_HOP).groupBy("entity_id").agg(F.count(F.when(F.col("tbl") == "orders", 1)).alias("n"))
+add("assume_count_add", lambda e: _orders(e, "COUNT(orders.*) OVER (UNBOUNDED PRECEDING) >= 7"), f"WITH {_child} {_counted.format('greatest', 7)}")
+add("assume_count_drop", lambda e: _orders(e, "COUNT(orders.*) OVER (UNBOUNDED PRECEDING) <= 2"), f"WITH {_child} {_counted.format('least', 2)}")
+add("assume_not_exists", lambda e: _orders(e, "NOT EXISTS(orders.*)"), f"WITH {_child} {_counted.format('least', 0)}")
+_gone_by = " UNION ALL ".join(f"""SELECT CAST(c_custkey AS VARCHAR), 'label', 'customer', 'label', NULL, CAST(count(o_orderkey) > 0 AS INTEGER) FROM customer
+    LEFT JOIN orders ON o_custkey = c_custkey AND {past(k, 30)} GROUP BY c_custkey""" for k in (1, 2, 3))
+_cell = lambda rows, who, t, c, text, number: f"SELECT CAST({who} AS VARCHAR), 'cell', '{t}', '{c}', {text}, {number} FROM {rows}"
+add("token_rows", lambda e: Engine(e.spark, e.catalog, policy=ONE_HOP).token_rows(ALL).select("entity_id", "kind", "tbl", "col", F.when(F.expr("kind = 'cell' AND code = 1"), F.col("text")).alias("text"), F.round("number", 4).alias("number")), f"""
+    WITH {_child}, k AS (SELECT * FROM o WHERE n <= 4), m AS (SELECT c_custkey, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey)
+    SELECT CAST(c_custkey AS VARCHAR) AS entity_id, 'target' AS kind, 'customer' AS tbl, '' AS col, CAST(NULL AS VARCHAR) AS text, CAST(NULL AS DOUBLE) AS number FROM customer UNION ALL {_gone_by} UNION ALL """
+    + " UNION ALL ".join([
+        _cell("customer", "c_custkey", "customer", "c_name", "c_name", "NULL"), _cell("customer", "c_custkey", "customer", "c_mktsegment", "c_mktsegment", "NULL"),
+        _cell("customer", "c_custkey", "customer", "c_acctbal", "NULL", "round(c_acctbal, 4)"), _cell("m", "c_custkey", "nation", "n_name", "n_name", "NULL"),
+        _cell("k", "o_custkey", "orders", "o_orderstatus", "o_orderstatus", "NULL"), _cell("k", "o_custkey", "orders", "o_orderpriority", "o_orderpriority", "NULL"),
+        _cell("k", "o_custkey", "orders", "o_totalprice", "NULL", "round(o_totalprice, 4)"), _cell("k", "o_custkey", "orders", "o_orderdate", "NULL", "epoch(o_orderdate)"),
+    ]))
 
 # -- scores over embeddings
 

@@ -7,6 +7,7 @@ target's values in past windows, and any object with ``score(engine, request)``
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from datetime import datetime
 from typing import Any, Protocol
@@ -25,8 +26,10 @@ from ..operators import labels as L
 from ..operators import rewrites, tokens
 from ..operators.aggregates import ANCHOR, value_counts
 from ..operators.cohort import filtered, pins, population
+from ..operators.walks import walking
 from ..schema import BOOLEAN, TEXT, Catalog
 from . import validate as V
+from .config import ModelConfig, strict_by_default
 
 
 @dataclass(frozen=True)
@@ -71,10 +74,18 @@ class Scorer(Protocol):
     def score(self, engine: Engine, prepared: Prepared) -> DataFrame: ...
 
 
+#: A traversal makes contexts: a function of (cohort, catalog, entity, anchor, policy).
+Traversal = Callable[[DataFrame, Catalog, str, "datetime | None", contexts.Policy], DataFrame]
+TRAVERSALS: dict[str, Traversal] = {"breadth_first": contexts.assemble, "walks": walking}
+
+
 class Engine:
-    def __init__(self, spark: SparkSession, catalog: Catalog, scorer: str | Scorer | None = None, policy: contexts.Policy = contexts.Policy(), strict: bool = False, static_rows: bool = False) -> None:
+    def __init__(self, spark: SparkSession, catalog: Catalog, scorer: str | Scorer | None = None, policy: contexts.Policy = contexts.Policy(), strict: bool | None = None, static_rows: bool = False,
+                 traversal: str | Traversal = "breadth_first", task_name: Callable[[A.Statement, str], str] | None = None, config: ModelConfig = ModelConfig()) -> None:
         self.spark, self.catalog, self.schema = spark, catalog, catalog.schema
-        self.policy, self.strict, self.static_rows, self.scorer = policy, strict, static_rows, scorer
+        self.policy, self.static_rows, self.scorer = policy, static_rows, scorer
+        self.strict = strict_by_default() if strict is None else strict
+        self.traversal, self.task_name, self.config = TRAVERSALS.get(traversal, traversal), task_name, config
         self.warnings = [f"{t} is linked to no other table" for t in self.schema.tables if not any(t in (x.child, x.parent) for x in self.schema.links)]
 
     # -- preparing
@@ -330,9 +341,50 @@ class Engine:
     def assemble_context(self, request: Request | str, policy: contexts.Policy | None = None) -> DataFrame:
         """The contexts as a scorer sees them: assembled, then ablated and assumed."""
         p = self.prepare(request)
-        made = contexts.assemble(p.cohort, self.catalog, p.statement.table, p.context_anchor, policy or self.policy)
+        made = self.traversal(p.cohort, self.catalog, p.statement.table, p.context_anchor, policy or self.policy)
         return rewrites.rewritten(made, self.catalog, p.statement, p.context_anchor)
 
+    def shared_contexts(self, request: Request | str, chunk: int = 64) -> DataFrame:
+        """(chunk, entities, tbl, row_id, hop, ts, cells, parents, n_cells): one context for about ``chunk`` entities of a cohort with
+        one anchor, each row once, with the entities whose own part it belongs to. For binary tasks and regressions without
+        ASSUMING and ABLATE, whose WHERE at most fixes keys."""
+        p = self.prepare(request)
+        s = p.statement
+        if p.shared_anchor is None or p.bound.task not in (V.BINARY, V.REGRESSION) or s.assuming is not None or s.ablate:
+            raise ExecutionFault("a shared context needs one anchor, a binary task or a regression, and no ASSUMING or ABLATE")
+        if s.where is not None and pins(s.where, s.table, p.bound.pk) is None:
+            raise ExecutionFault("a shared context's WHERE may only fix keys")
+        rows = self.assemble_context(request)
+        n = p.cohort.count()
+        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("entity_id"), F.lit(max(1, -(-n // chunk)))))
+        own = F.sort_array(F.collect_set(F.when(F.col("is_focal"), F.col("entity_id"))))  # about chunk ids
+        return rows.groupBy("chunk", "tbl", "row_id").agg(
+            own.alias("entities"), F.min("hop").alias("hop"), *(F.any_value(c).alias(c) for c in ("ts", "cells", "parents", "n_cells")),
+        )
+
+    def token_health(self, request: Request | str, max_len: int = 2048) -> list[str]:
+        """Warnings about the token rows: sequences that ``max_len`` cuts, rows with more parents than a node carries, and parents
+        that are in no context of their child."""
+        context = self.assemble_context(request)
+        out = []
+        long = context.groupBy("entity_id").agg(F.sum("n_cells").alias("n")).where(F.col("n") + 1 + self.policy.num_history_windows > max_len).count()
+        if long:
+            out.append(f"{long} sequences are cut at {max_len} tokens")
+        crowded = context.where(F.size("parents") > tokens.MOST_PARENTS).count()
+        if crowded:
+            out.append(f"{crowded} rows have more than {tokens.MOST_PARENTS} parents; the first by column are kept")
+        parent_of = {(x.child, x.fk): x.parent for x in self.schema.links}
+        named = F.create_map(*(F.lit(v) for (t, k), parent in parent_of.items() for v in (f"{t}.{k}", parent))) if parent_of else None
+        if named is not None:
+            asked = context.select("entity_id", "anchor_ts", F.col("tbl").alias("child"), F.explode("parents").alias("fk", "row_id"))
+            asked = asked.withColumn("tbl", named[F.concat_ws(".", "child", "fk")])
+            lost = asked.join(context.select("entity_id", "tbl", "row_id"), ["entity_id", "tbl", "row_id"], "left_anti").count()
+            if lost:
+                out.append(f"{lost} parents are not in the context of their child")
+        if self.strict and out:
+            raise ExecutionFault("; ".join(out))
+        return out
+
     def stats(self, request: Request | str) -> dict[str, int]:
         """How many entities a request scores, how many contexts a fan-out cut, and how often."""
         context = self.assemble_context(request)
@@ -358,7 +410,7 @@ class Engine:
         fixed = pins(s.where, s.table, bound.pk)
         kinds = {V.REGRESSION: "value", V.BINARY: "probability", V.MULTICLASS: "class", V.RANKING: "ranked", V.FORECASTING: "forecast"}
         return {
-            "target": show(s.target), "task_type": bound.task, "task_id": bound.task_id,
+            "target": show(s.target), "task_type": bound.task, "task_id": self.task_name(s, bound.task) if self.task_name else bound.task_id, "model_uri": self.config.uri_for(bound.task),
             "entity": {"table": s.table, "pk": bound.pk, "selector": fixed if fixed is not None else "ALL"},
             "output": s.returns or kinds[bound.task].upper(),
             "windows": [{"aggregate": show(a), "start": a.frame.start, "end": a.frame.end, "horizons": a.frame.horizons, "step": a.frame.step} for a in A.aggregates(s.target)],
@@ -380,7 +432,12 @@ class Engine:
         context = self.assemble_context(request)
         s = self.prepare(request).statement
         out["context"] = [r.asDict() for r in contexts.report(context).orderBy("tbl").collect()]
+        present = {r["tbl"] for r in out["context"]}
+        out["links"] = [f"{x.child}.{x.fk} -> {x.parent}" for x in self.schema.links if x.child in present and x.parent in present]
+        out["unreached"] = sorted(set(self.schema.tables) - present)
         out["warnings"] = contexts.health(context, sorted(self.schema.tables)) + rewrites.inert(self.catalog, s, context)
+        if self.strict and out["warnings"]:
+            raise ExecutionFault("; ".join(out["warnings"]))
         if asked.mode == "ANALYZE":
             chosen = scorer or self.scorer
             if chosen is None:

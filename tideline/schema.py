@@ -156,6 +156,16 @@ COLUMNS = {
 }
 
 
+def shop_features() -> dict[str, dict[str, str]]:
+    """Table -> feature -> type of the driver tables, without a session."""
+    kinds = {"string": TEXT, "timestamp_ntz": DATETIME}
+    keys = {t: {k} for t, k in KEYS.items()}
+    for child, fk, _ in LINKS:
+        keys.setdefault(child, set()).add(fk)
+    pairs = {t: [x.split() for x in ddl.split(", ")] for t, ddl in COLUMNS.items()}
+    return {t: {c: kinds.get(kind, NUMBER) for c, kind in cols if c not in keys.get(t, ())} for t, cols in pairs.items()}
+
+
 @cache
 def shop_schema() -> tuple[Schema, dict[str, T.StructType]]:
     types = {n: T.StructType.fromDDL(ddl) for n, ddl in COLUMNS.items()}
