@@ -256,9 +256,9 @@ add("peer_class_own_anchor", lambda e: e.execute(OWN, "history"), f"""
     WITH a AS (SELECT DISTINCT o_orderdate AS seen FROM orders WHERE o_orderdate <= TIMESTAMP '{A}'), d AS (SELECT o_orderdate, o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1, 2),
     t AS (SELECT seen, s, sum(n) AS n FROM a JOIN d ON o_orderdate <= seen GROUP BY 1, 2)
     SELECT o_orderkey AS entity_id, first(s ORDER BY n - (s = o_orderstatus)::INT DESC, s) AS predicted_class FROM orders JOIN t ON seen = o_orderdate WHERE o_orderdate <= TIMESTAMP '{A}' GROUP BY 1""")
-add("peer_mean_own_anchor", lambda e: plain(e.execute(Request("PREDICT o_totalprice FROM orders", anchor_time=WHEN[A], per_entity_anchor=True), "history")), f"""
+add("peer_mean_own_anchor", lambda e: e.execute(Request("PREDICT o_totalprice FROM orders", anchor_time=WHEN[A], per_entity_anchor=True), "history").withColumn("value", F.round(F.col("value") + 1e-6, 4)), f"""
     WITH d AS (SELECT o_orderdate AS seen, sum(o_totalprice) AS x, count(*) AS n FROM orders WHERE o_orderdate <= TIMESTAMP '{A}' GROUP BY 1), t AS (SELECT seen, sum(x) OVER (ORDER BY seen) AS x, sum(n) OVER (ORDER BY seen) AS n FROM d)
-    SELECT o_orderkey AS entity_id, CASE WHEN n > 1 THEN round((x - o_totalprice) / (n - 1), 4) END AS value FROM orders JOIN t ON seen = o_orderdate""")
+    SELECT o_orderkey AS entity_id, CASE WHEN n > 1 THEN round((x - o_totalprice) / (n - 1) + 1e-6, 4) END AS value FROM orders JOIN t ON seen = o_orderdate""")
 add("classify_counts", lambda e: e.execute(f"PREDICT COUNT(orders.*) OVER (90 DAYS FOLLOWING) > 0 CLASSIFY {FROM_A} RETURN CLASS", "history"), f"""
     SELECT c_custkey AS entity_id, CASE WHEN {" + ".join(f"CAST(count(*) FILTER (WHERE {past(k, 90)}) > 0 AS INTEGER)" for k in (1, 2, 3))} >= 2 THEN 'true' ELSE 'false' END AS predicted_class {_each}""")
 add("inferred_population", lambda e: e.cohort(f"PREDICT customer.c_acctbal WHERE customer.c_acctbal > 0 AS OF {A}").select("entity_id"), f"{WHO} c_acctbal > 0")
