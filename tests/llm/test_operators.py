@@ -71,7 +71,7 @@ def test_exact_dedup_odd(odd):
 def test_decontamination(spark):
     rng = random.Random(1)
     word = lambda: rng.choice("abcdefgh") + rng.choice("ijklmnop") * rng.randint(1, 3)
-    items = [(k, " ".join(word() for _ in range(rng.choice([3, 5, 9, 20, 60])))) for k in range(40)] + [(40, None), (41, "")]
+    items = [(k, " ".join(word() for _ in range(rng.choice([1, 3, 4, 5, 9, 20, 60])))) for k in range(40)] + [(40, None), (41, ""), (42, "?!")]
     texts = []
     for k in range(120):
         body = [word() for _ in range(rng.choice([0, 10, 300, 3000]))]
@@ -86,22 +86,24 @@ def test_decontamination(spark):
     for i, t in texts:
         own = D.shingles(t.encode())
         for j, x in items:
-            q = D.shingles((x or "").encode())
-            if q and len(q & own) / len(q) >= 0.8 - 1e-12:
-                want.add((i, j, len(q & own), len(q)))
+            width, q = D.item_shingles((x or "").encode())
+            shared = len(q & (own if width == 5 else D.shingles(t.encode(), width)))
+            if q and shared / len(q) >= 0.8 - 1e-12:
+                want.add((i, j, shared, len(q)))
     a = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
     b = spark.createDataFrame(items, "item_id long, text string")
     assert {tuple(r)[:4] for r in D.contamination(a, b).collect()} == want and len(want) > 15
+    assert {1, 3, 4, 5} <= {len((items[j][1] or "").split()) for _, j, *_ in want}
     assert {r["doc_id"] for r in D.decontaminate(a, b).collect()} == {i for i, _ in texts} - {w[0] for w in want}
 
 
 def test_decontamination_in_blocks_and_odd(spark, odd, monkeypatch):
     items = spark.createDataFrame([(1, "word"), (2, " ".join("y" for _ in range(9))), (3, None)], "item_id long, text string")
     whole = sorted(map(tuple, D.contamination(odd, items).collect()))
-    assert [r[:2] for r in whole] == [(7, 2)]
+    assert [r[:2] for r in whole] == [(5, 1), (6, 1), (6, 1), (7, 2), (8, 1)]
     monkeypatch.setattr(D, "BLOCK_BYTES", 4)
     assert sorted(map(tuple, D.contamination(odd, items).collect())) == whole
-    assert D.decontaminate(odd, items).count() == len(ODD) - 1 and D.decontaminate(odd, items).columns == odd.columns
+    assert [r["doc_id"] for r in D.decontaminate(odd, items).orderBy("doc_id").collect()] == [1, 2, 3, 4, 9] and D.decontaminate(odd, items).columns == odd.columns
     assert D.contamination(odd.limit(0), items).count() == D.contamination(odd, items.limit(0)).count() == 0
 
 

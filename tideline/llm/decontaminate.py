@@ -4,7 +4,8 @@ An item is contained in a document if at least ``threshold`` of the item's disti
 from the items' side, so a long document costs nothing in recall: of an item with q shingles at most q - ceil(threshold * q)
 may be missing, so one of its q - ceil(threshold * q) + 1 smallest hashes must occur in any document that contains it.
 Items are partitioned by size (powers of two); each partition has its own sketch table, and documents with too few shingles
-for a partition are left out of it. A hit makes a candidate, which is then verified on the words themselves.
+for a partition are left out of it. A hit makes a candidate, which is then verified on the words themselves. An item of fewer
+than ``n`` words counts as one shingle, its whole sequence of words, and is looked for among the documents' word runs of that width.
 
 Items come to the executors in blocks of bounded size (``BLOCK_BYTES`` of text), each block meeting all documents in one
 scan without a shuffle.
@@ -39,18 +40,25 @@ def shingles(text: bytes | None, n: int = SHINGLE) -> set[bytes]:
     return {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
-def shingle_rows(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of every word shingle of a block."""
+def item_shingles(text: bytes, n: int = SHINGLE) -> tuple[int, set[bytes]]:
+    """The width of an item's shingles, n or all its words if there are fewer, and the shingles; without a word 0 and none."""
+    width = min(n, len(WORD.findall(text.lower())))
+    return width, shingles(text, width) if width else set()
+
+
+def word_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of every word of a block."""
     text = spaced(T.LOWER[data], offsets)
     clean = np.where(T.WORDISH[text.data], text.data, np.uint8(32))
     starts, ends, owner = word_spans(Spaced(clean, text.starts, text.ends), T.WORDISH)
-    return T.word_ngrams(T.Spans(clean).hash(starts, ends), owner, n)
+    return T.Spans(clean).hash(starts, ends), owner
 
 
 @dataclass
 class Partition:
-    """The sketches of the items of one size class."""
+    """The sketches of the items of one size class and width of shingles."""
 
+    width: int
     least: int  # a document needs so many shingles
     hashes: np.ndarray  # sorted
     items: np.ndarray  # the item of each
@@ -62,42 +70,49 @@ class Partition:
 class Items:
     ids: list
     texts: list[bytes]
+    widths: list[int]
     sets: list[set[bytes]]
     needed: np.ndarray
     partitions: list[Partition]
 
 
 def sketch(rows: list[tuple[object, bytes]], threshold: float, n: int = SHINGLE) -> Items:
-    """Sketch tables of items; those with fewer than ``n`` words have no shingle and match nothing."""
+    """Sketch tables of items; those without a word match nothing."""
     ids, texts = [r[0] for r in rows], [r[1] for r in rows]
-    sets = [shingles(t, n) for t in texts]
+    made = [item_shingles(t, n) for t in texts]
+    widths, sets = [w for w, _ in made], [s for _, s in made]
     needed = np.array([int(np.ceil(threshold * len(s) - 1e-9)) for s in sets], np.int64)
-    by_item: dict[int, list[np.ndarray]] = {}
+    by_item: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
     for at, count, data, offsets in T.blocks(as_arrow(texts)):
-        hashes, owner = shingle_rows(data, offsets, n)
-        for k in range(count):
-            own = np.unique(hashes[owner == k])
-            if len(own):
-                miss = len(own) - int(np.ceil(threshold * len(own) - 1e-9))
-                by_item.setdefault(len(own).bit_length(), []).append((at + k, own[: miss + 1]))
+        words, of = word_rows(data, offsets)
+        for width in sorted({w for w in widths[at : at + count] if w}):
+            hashes, owner = T.word_ngrams(words, of, width)
+            first = np.searchsorted(owner, np.arange(count + 1))
+            for k in range(count):
+                if widths[at + k] == width:
+                    own = np.unique(hashes[first[k] : first[k + 1]])
+                    miss = len(own) - int(np.ceil(threshold * len(own) - 1e-9))
+                    by_item.setdefault((width, len(own).bit_length()), []).append((at + k, own[: miss + 1]))
     partitions = []
-    for size_class, members in sorted(by_item.items()):
+    for (width, size_class), members in sorted(by_item.items()):
         hashes = np.concatenate([h for _, h in members])
         items = np.repeat([k for k, _ in members], [len(h) for _, h in members])
         order = np.argsort(hashes, kind="stable")
         bits = max(16, int(len(hashes)).bit_length() + 4)
         marked = np.zeros(1 << bits, bool)
         marked[hashes >> np.uint64(64 - bits)] = True
-        partitions.append(Partition(int(np.ceil(threshold * (1 << (size_class - 1)) - 1e-9)), hashes[order], items[order], marked, bits))
-    return Items(ids, texts, sets, needed, partitions)
+        partitions.append(Partition(width, int(np.ceil(threshold * (1 << (size_class - 1)) - 1e-9)), hashes[order], items[order], marked, bits))
+    return Items(ids, texts, widths, sets, needed, partitions)
 
 
-def candidates(found: Items, data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> np.ndarray:
+def candidates(found: Items, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Distinct (text, item) pairs that share a sketch hash."""
-    hashes, owner = shingle_rows(data, offsets, n)
-    count = np.bincount(owner, minlength=len(offsets) - 1)
-    out = []
-    for p in found.partitions:
+    words, of = word_rows(data, offsets)
+    out, last = [], 0
+    for p in found.partitions:  # ordered by width
+        if p.width != last:
+            last, (hashes, owner) = p.width, T.word_ngrams(words, of, p.width)
+            count = np.bincount(owner, minlength=len(offsets) - 1)
         hit = np.flatnonzero(p.filter[hashes >> np.uint64(64 - p.bits)])
         hit = hit[count[owner[hit]] >= p.least]
         lo, hi = np.searchsorted(p.hashes, hashes[hit]), np.searchsorted(p.hashes, hashes[hit], side="right")
@@ -107,14 +122,18 @@ def candidates(found: Items, data: np.ndarray, offsets: np.ndarray, n: int = SHI
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
 
-def contained(found: Items, data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE, first_only: bool = False) -> list[tuple[int, int, int]]:
+def contained(found: Items, data: np.ndarray, offsets: np.ndarray, first_only: bool = False) -> list[tuple[int, int, int]]:
     """(text, item, shared shingles) of every pair that passes the exact test."""
-    out, last, own, done = [], -1, set(), False
-    for row, item in candidates(found, data, offsets, n).tolist():
+    out, last, done = [], -1, False
+    own: dict[int, set[bytes]] = {}  # of the text, by width
+    for row, item in candidates(found, data, offsets).tolist():
         if row != last:
-            last, own, done = row, shingles(data[offsets[row] : offsets[row + 1]].tobytes(), n), False
+            last, own, done = row, {}, False
         if not (done and first_only):
-            shared = sum(s in own for s in found.sets[item])
+            width = found.widths[item]
+            if width not in own:
+                own[width] = shingles(data[offsets[row] : offsets[row + 1]].tobytes(), width)
+            shared = sum(s in own[width] for s in found.sets[item])
             if shared >= found.needed[item]:
                 out.append((row, item, shared))
                 done = True
@@ -138,7 +157,8 @@ def contamination(
 ) -> DataFrame:
     """A row for each (document row, item row) with containment >= threshold: ids, n_shared, n_item, containment.
 
-    Null and empty texts, and texts under ``n`` words, have no shingle: they contain nothing and are contained in nothing.
+    Null texts and texts without a word contain nothing and are contained in nothing. An item under ``n`` words is one shingle,
+    its whole sequence of words, and is contained where a document holds this run of words.
     Repeated rows give repeated results; null ids on either side come back as null. An empty table on either side gives an empty
     result. Columns other than the two of each side are ignored.
     """
@@ -155,7 +175,7 @@ def contamination(
             found = shared.value
             for batch in batches:
                 for at, _, data, offsets in T.blocks(batch.column(1)):
-                    hits = contained(found, data, offsets, n)
+                    hits = contained(found, data, offsets)
                     if hits:
                         size = [len(found.sets[i]) for _, i, _ in hits]
                         yield pa.RecordBatch.from_arrays(
@@ -186,7 +206,7 @@ def decontaminate(
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for at, _, data, offsets in T.blocks(batch.column(at_col)):
-                    clean[[at + r for r, _, _ in contained(shared.value, data, offsets, n, first_only=True)]] = False
+                    clean[[at + r for r, _, _ in contained(shared.value, data, offsets, first_only=True)]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(scan, docs.schema)

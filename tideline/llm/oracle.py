@@ -30,9 +30,14 @@ SQL = {
             SELECT 'd' AS side, doc_id AS id, {WORDS} AS words FROM documents
             UNION ALL SELECT 'i', item_id, {WORDS} FROM benchmark
         ),
+        v AS (SELECT id, least(5, len(words)) AS width FROM w WHERE side = 'i' AND len(words) > 0),
+        x AS (
+            SELECT side, id, words, width FROM w JOIN v USING (id) WHERE side = 'i'
+            UNION ALL SELECT side, id, words, width FROM w, (SELECT DISTINCT width FROM v) WHERE side = 'd'
+        ),
         s AS (
-            SELECT DISTINCT side, id, array_to_string(words[i : i + 4], ' ') AS shingle
-            FROM (SELECT side, id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)
+            SELECT DISTINCT side, id, array_to_string(words[i : i + width - 1], ' ') AS shingle
+            FROM (SELECT side, id, words, width, unnest(range(1, len(words) - width + 2)) AS i FROM x WHERE len(words) >= width)
         ),
         n AS (SELECT id, count(*) AS n_item FROM s WHERE side = 'i' GROUP BY id)
         SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*) / any_value(n_item) AS containment
