@@ -41,3 +41,7 @@ class CatalogFault(QueryError):
 
 class ScoringFault(QueryError):
     pass
+
+
+class RemoteFault(ScoringFault):
+    """A server that scores cannot be reached, or answers something else."""
