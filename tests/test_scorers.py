@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from tideline.errors import ExecutionFault, RemoteFault, ScoringFault
+from tideline.operators.context import Policy
 from tideline.plans import validate as V
 from tideline.plans.batches import collated, name_id, packed
 from tideline.plans.engine import Engine
@@ -56,7 +57,7 @@ def test_collated():
 
 
 def test_batches_give_the_same_scores(spark, sf):
-    engine = Engine(spark, shop(spark, sf))
+    engine = Engine(spark, shop(spark, sf), policy=Policy(max_hops=1))
     whole = sorted(map(tuple, engine.execute(NUMBER, TokenScorer(lengths)).collect()))
     assert whole == sorted(map(tuple, engine.execute(NUMBER, TokenScorer(lengths, most_items=1)).collect())) and len(whole) == 4
     assert whole == sorted(map(tuple, engine.execute(NUMBER, TokenScorer(lambda a: a["mask"].sum(1).astype(float), arrays=True)).collect()))
@@ -65,7 +66,7 @@ def test_batches_give_the_same_scores(spark, sf):
 
 
 def test_heads(spark, sf):
-    engine = Engine(spark, shop(spark, sf))
+    engine = Engine(spark, shop(spark, sf), policy=Policy(max_hops=1))
     known = {r["entity_id"]: r["value"] for r in engine.execute(NUMBER, TokenScorer(lengths)).collect()}
     head = HeadScorer(features, Fitted(V.REGRESSION), arrays=True)
     assert {r["entity_id"]: r["value"] for r in engine.execute(NUMBER, head).collect()} == pytest.approx({k: v / 1000 for k, v in known.items()})
@@ -74,7 +75,7 @@ def test_heads(spark, sf):
     engine.execute(YES, head)
     assert len(engine.warnings) == before + 1
     with pytest.raises(ExecutionFault):
-        Engine(spark, shop(spark, sf), strict=True).execute(YES, HeadScorer(features, Fitted(V.REGRESSION), arrays=True))
+        Engine(spark, shop(spark, sf), policy=Policy(max_hops=1), strict=True).execute(YES, HeadScorer(features, Fitted(V.REGRESSION), arrays=True))
     assert all(0 <= r["probability"] <= 1 for r in engine.execute(YES, HeadScorer(features, Fitted(V.BINARY), arrays=True)).collect())
     rows = engine.execute(CLASS, HeadScorer(features, Fitted(V.MULTICLASS, ("a", "b")), arrays=True)).collect()
     assert len(rows) == 4 and all(r["predicted_class"] == "b" and r["class_probs"]["b"] == pytest.approx(1 / (1 + np.exp(-1))) for r in rows)
@@ -112,7 +113,7 @@ def server():
 def test_remote(spark, sf, server):
     at, handler = server
     url = f"http://127.0.0.1:{at.server_port}/v1/forward"
-    engine, scorer = Engine(spark, shop(spark, sf)), RemoteScorer(url, wait=0.01)
+    engine, scorer = Engine(spark, shop(spark, sf), policy=Policy(max_hops=1)), RemoteScorer(url, wait=0.01)
     handler.failing = 2
     assert scorer.health() == {"status": "ok"} and handler.calls == 3
     whole = sorted(map(tuple, engine.execute(NUMBER, TokenScorer(lengths)).collect()))
