@@ -288,6 +288,21 @@ def test_mix(spark, docs, labels, odd):
     assert mixing.mix(odd.limit(0), model, {"en": 1.0}).count() == 0 and mixing.mix(odd, model, {}).count() == len(ODD)
 
 
+def test_long_texts_are_read_in_pieces(spark, docs, labels, monkeypatch):
+    model = mixing.fit_domains(docs, labels, F.when(F.col("quality") == 1, F.col("lang")).otherwise("poor"), ["quality"])
+    some = [(r["doc_id"], r["text"]) for r in docs.limit(40).collect()]
+    odd = ["", None, " ", "one", " two\n", "a" * 50, "a" * 7 + " " * 7 + "b", "\u00e9\U0001f600 " * 9, "x\ny\n", "abcdefg", "abcdef ", "abcdefg hijklm"]
+    rows = spark.createDataFrame(some + list(enumerate(odd, 10**6)), "doc_id long, text string")
+    want = {r["doc_id"]: (r["n_tokens"], r["posterior"]) for r in mixing.memberships(rows, model).collect()}
+    monkeypatch.setattr(mixing, "PIECE", 7)
+    got = {r["doc_id"]: (r["n_tokens"], r["posterior"]) for r in mixing.memberships(rows, model).collect()}
+    assert got == want and any(n > 100 for n, _ in got.values())
+    longest = rows.select(F.array_max(F.transform(mixing.word_pieces(F.col("text")), lambda p: F.size(mixing.word_buckets(p)))).alias("n")).agg(F.max("n")).first()[0]
+    assert longest <= 8
+    again = mixing.fit_domains(docs, labels, F.when(F.col("quality") == 1, F.col("lang")).otherwise("poor"), ["quality"])
+    assert again.names == model.names and (again.weights == model.weights).all()
+
+
 # -- 10 sharding
 
 

@@ -12,6 +12,7 @@ Nothing is shuffled but partial sums. Domains without a target keep the share th
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
 from math import log
 
@@ -28,6 +29,12 @@ CLOSE = 1e-6
 #: Shares further from their targets than this are reported.
 TOLERANCE = 1e-3
 SEED = 11
+#: What words are separated by.
+GAP = r"[ \t\n\x0B\f\r]+"
+#: The word that a text ends in, or nothing; looked for where words start only.
+LAST = r"(?<![^ \t\n\x0B\f\r])[^ \t\n\x0B\f\r]*+\z"
+#: Characters of a text whose words are in memory at once; a word takes some 25 times its bytes there.
+PIECE = 1 << 20
 
 
 def literal(values: np.ndarray) -> Column:
@@ -36,7 +43,40 @@ def literal(values: np.ndarray) -> Column:
 
 
 def word_buckets(text: Column) -> Column:
-    return F.transform(F.filter(F.split(text, r"[ \t\n\x0B\f\r]+"), lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+    return F.transform(F.filter(F.split(text, GAP), lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def word_pieces(text: Column) -> Column:
+    """``text`` in pieces of about ``PIECE`` characters that end where a word ends, so that no array of words has a bound beyond that."""
+
+    def add(acc: Column, k: Column) -> Column:
+        read = F.concat(acc["last"], F.substring(text, k * PIECE + 1, F.lit(PIECE)))
+        cut = lambda s: F.struct(s.alias("s"), F.regexp_extract(s, LAST, 0).alias("last"))
+        head = lambda c: F.substring(c["s"], F.lit(1), F.char_length(c["s"]) - F.char_length(c["last"]))
+        return bound(bound(read, cut), lambda c: F.struct(c["last"].alias("last"), F.concat(acc["out"], F.array(head(c))).alias("out")))
+
+    none = F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("out"))
+    cut = F.aggregate(F.sequence(F.lit(0), F.floor(F.char_length(text) / PIECE).cast("int")), none, add, lambda acc: F.concat(acc["out"], F.array(acc["last"])))
+    return F.when(F.char_length(text) <= PIECE, F.array(text)).otherwise(cut)
+
+
+def word_sums(text: Column, tables: list[Column]) -> Column:
+    """(n, sums): the number of words, and for each of ``tables`` the sum of their buckets' entries, in the words' order."""
+
+    def total(start: Column, buckets: Column, table: Column) -> Column:
+        return F.aggregate(buckets, start, lambda acc, b: acc + F.get(table, b))
+
+    def add(acc: Column, piece: Column) -> Column:
+        sums = lambda b: F.array(*(total(F.get(acc["sums"], F.lit(j)), b, t) for j, t in enumerate(tables)))
+        return bound(word_buckets(piece), lambda b: F.struct((acc["n"] + F.size(b)).alias("n"), sums(b).cast("array<double>").alias("sums")))
+
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.array(*(F.lit(0.0) for _ in tables)).cast("array<double>").alias("sums"))
+    return F.aggregate(word_pieces(text), none, add)
 
 
 @dataclass
@@ -53,7 +93,7 @@ def fit_domains(
     require(docs, id_col, text_col)
     chosen = with_labels(docs, labels, learns(id_col), per_label, label_cols, id_col)
     rows = chosen.select(domain.alias("domain"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low")).where("domain is not null")
-    counted = rows.select("domain", F.explode(word_buckets(F.col("low"))).alias("bucket")).groupBy("domain", "bucket").agg(F.count("*").alias("n"))
+    counted = rows.select("domain", F.explode(word_pieces(F.col("low"))).alias("piece")).select("domain", F.explode(word_buckets(F.col("piece"))).alias("bucket")).groupBy("domain", "bucket").agg(F.count("*").alias("n"))
     sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     names = sorted(sizes)
     hits = np.full((len(names), BUCKETS), 0.5)
@@ -72,18 +112,18 @@ def memberships(docs: DataFrame, model: Domains, text_col: str = "text") -> Data
     """
     require(docs, text_col)
     out = docs.drop("n_tokens", "posterior").withColumn("__low", ascii_lower(F.coalesce(F.col(text_col), F.lit(""))))
-    out = out.withColumn("__b", word_buckets(F.col("__low"))).withColumn("n_tokens", F.size("__b").cast("long"))
+    tables = [literal(np.round(w, 6)) for w in model.weights]
+    out = out.withColumn("__w", word_sums(F.col("__low"), tables))
+    out = out.withColumn("n_tokens", F.col("__w.n"))
 
     def evidence(k: int) -> Column:
-        w = literal(np.round(model.weights[k], 6))
-        total = F.aggregate("__b", F.lit(0.0), lambda acc, b: acc + F.get(w, b))
-        return total / F.sqrt(F.greatest(F.size("__b"), F.lit(1))) + F.lit(float(model.prior[k]))
+        return F.get("__w.sums", F.lit(k)) / F.sqrt(F.greatest("n_tokens", F.lit(1))) + F.lit(float(model.prior[k]))
 
     logits = F.array(*(evidence(k) for k in range(len(model.names))))
     out = out.withColumn("__z", logits)
     out = out.withColumn("__e", F.transform("__z", lambda z: F.exp(z - F.array_max("__z"))))
     total = F.aggregate("__e", F.lit(0.0), lambda acc, x: acc + x)
-    return out.withColumn("posterior", F.transform("__e", lambda x: x / total)).drop("__low", "__b", "__z", "__e")
+    return out.withColumn("posterior", F.transform("__e", lambda x: x / total)).drop("__low", "__w", "__z", "__e")
 
 
 @dataclass
