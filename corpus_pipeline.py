@@ -25,7 +25,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows that hang together by near copies, 0.8 of five-word shingles, one stays: the one with the smallest id."""
+    """Of rows that hang together by near copies, 0.8 of five-word shingles, one stays: the one with the smallest id. SimHash tables
+    find them first, MinHash bands what those miss; shingle sets decide."""
     return near_copies.one_of_each(docs)
 
 

@@ -94,3 +94,28 @@ def test_large_buckets_in_pieces(spark, monkeypatch):
         monkeypatch.setattr(N, "near_copy_components", lambda a, b, t, f=near_copy_components, p=piece: f(a, b, t, p))
         assert {r["doc_id"] for r in N.one_of_each(docs).collect()} == want
     assert N.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_fingerprint_tables_find_near_copies_without_bands(spark):
+    from tideline.llm.near_copies import SPEC
+    from tideline.llm.simhash import fingerprint
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for k in range(40):
+        text = [word() for _ in range(120)]
+        copy = list(text)
+        for at in range(k % 5):  # 0 to 4 far-apart words: Jaccard 1 to 0.71
+            copy[10 + 20 * at] = word()
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join([*copy, *copy[:5]]))]  # what is added makes new shingles and word pairs
+    sets = dict((i, brute_sets(t)) for i, t in rows)
+    marks = {i: fingerprint(t.encode(), SPEC) for i, t in rows}
+    want = set()
+    for i in range(0, 80, 2):
+        if (marks[i] ^ marks[i + 1]).bit_count() <= 4 and len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1]):
+            want.add((i + 1, i))
+    assert len(want) > 5
+    nodes = spark.createDataFrame([(i, len(sets[i]), []) for i, _ in rows], "rep long, size long, keys array<long>")
+    found = near_copy_components(nodes, spark.createDataFrame([(i, t.encode()) for i, t in rows], "rep long, text binary"))
+    assert {(r["node"], r["component"]) for r in found.collect() if r["node"] != r["component"]} == want

@@ -1,12 +1,13 @@
-"""Near copies by word shingles: MinHash bands find candidates, exact shingle sets decide.
+"""Near copies by word shingles: SimHash tables and MinHash bands find candidates, exact shingle sets decide.
 
 Two texts are near copies if their sets of distinct ``SHINGLE``-word shingles have a Jaccard similarity of at least
 ``THRESHOLD``. Texts of fewer words have one shingle, all their words; texts without words have none and are equal.
 
-Texts with one set are one node. Candidates are nodes that agree in all ``WIDTH`` minima of one of ``BANDS`` bands: at 0.8
-a pair is missed with probability (1 - 0.8 ** 5) ** 20 = 0.00035, above it less often. Buckets with the same members are
-looked at once. The members' texts come to their bucket, and no pair becomes an edge before its sets have been compared; a
-search that leaves out what is linked already gives a spanning forest, so a dense bucket is not expanded into pairs. A large
+Texts with one set are one node. Nodes meet first by the multi-index tables of ``simhash``: those that hang together by 4
+bits or fewer are one bucket. 4 bits are too few for many pairs close to the threshold, so nodes that agree in all ``WIDTH`` minima of
+one of ``BANDS`` bands are a bucket too, unless they are all in one bucket of the tables: at 0.8 a pair is missed by these with
+probability (1 - 0.8 ** 5) ** 20 = 0.00035, above it less often. Buckets with the same members are looked at once. The members'
+texts come to their bucket, and no pair becomes an edge before its sets have been compared; a search that leaves out what is linked already gives a spanning forest, so a dense bucket is not expanded into pairs. A large
 bucket is searched in pieces.
 """
 
@@ -23,12 +24,13 @@ from . import textops as T
 from .common import partitions, release, require, written
 from .graph import connected_components
 from .ppm import text_words
+from .simhash import Spec, simhash_components
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, WIDTH = 20, 5
-#: Bands that are searched first.
-EARLY = 4
+#: The fingerprint is over distinct word pairs. Texts with one set of shingles have one set of pairs, so it is the node's.
+SPEC = Spec(2, False, 42)
 #: Shingles (8 bytes each) that a task searches at once.
 PIECE = 4 << 20
 _seeds = T.mix(np.arange(1, 2 * BANDS * WIDTH + 1, dtype=np.uint64))
@@ -231,17 +233,15 @@ def buckets_of(rows: DataFrame) -> DataFrame:
 def near_copy_components(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, piece: int = PIECE) -> DataFrame:
     """(node, component) of the ``nodes`` (rep, size, keys) that hang together by pairs at the threshold; ``texts`` is (rep, text).
 
-    The first ``EARLY`` bands settle most; of the others' buckets only those are looked at that hold nodes of several components.
+    A bucket is searched for all pairs in it, so of the bands' buckets only those are looked at that are not within one of the tables.
     """
-    early = nodes.select("rep", "size", F.explode(F.slice("keys", 1, EARLY)).alias("key"), F.col("rep").alias("comp"))
-    first = written(buckets_of(early), "near-buckets")
-    known = written(connected_components(verified(first, texts, threshold, piece)), "near-known")
-    release(first)
-    named = nodes.join(known.hint("merge"), nodes["rep"] == known["node"], "left")
-    late = named.select("rep", "size", F.explode(F.slice("keys", EARLY + 1, BANDS)).alias("key"), F.coalesce("component", "rep").alias("comp"))
-    second = written(buckets_of(late), "near-buckets")
-    edges = known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(verified(second, texts, threshold, piece))
-    return connected_components(edges)
+    alike = simhash_components(texts, (SPEC,), "rep", "text").select("rep", F.col("component_id").alias("comp"))
+    named = written(nodes.where("size > 0").join(alike.hint("merge"), "rep").select("rep", "size", "keys", "comp"), "near-named")
+    bands = named.select("rep", "size", F.explode("keys").alias("key"), "comp")
+    tables = named.select("rep", "size", F.col("comp").alias("key"), F.col("rep").alias("comp"))
+    buckets = written(buckets_of(tables.unionByName(bands)), "near-buckets")
+    release(named)
+    return connected_components(verified(buckets, texts, threshold, piece))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
