@@ -131,29 +131,39 @@ def collection(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     levels = np.zeros(total + 1, np.int8)  # floor of the binary logarithm
     for k in range(1, total.bit_length()):
         levels[1 << k :] = k
+    kind = np.int32 if total * total.bit_length() < 1 << 31 else np.int64
+    sizes = (1 << np.arange(total.bit_length(), dtype=np.int64)).astype(kind)
     symbol = text[at]
     for _ in range(most):
-        order = np.argsort(symbol, kind="stable")[len(symbol) - np.count_nonzero(symbol) :]
+        counts = np.bincount(symbol)
+        order = np.argsort(symbol, kind="stable")[counts[0] :].astype(kind)
+        if not len(order):
+            at, common, symbol = ends, no_common, text[ends]
+            continue
         n = len(common)
-        deep = int(levels[n]) + 1
+        counts = counts[1:]
+        fresh = (np.cumsum(counts) - counts)[counts > 0]  # where a symbol's rows start; the rows before and at such a place differ
+        gap, left = np.diff(order), order[:-1] + 1
+        gap[fresh[1:] - 1], left[fresh[1:] - 1] = 1, 0
+        level = levels.take(gap)
+        deep = int(level.max(initial=0)) + 1
         lowest = np.empty((deep, n), narrow)  # lowest[k, i]: the least common prefix of rows i to i + 2 ** k - 1
         lowest[0] = common
         for k in range(1, deep):
             half = 1 << (k - 1)
             np.minimum(lowest[k - 1, : n - 2 * half + 1], lowest[k - 1, half : n - half + 1], out=lowest[k, : n - 2 * half + 1])
-        sorted_symbol = symbol[order]
-        same = sorted_symbol[1:] == sorted_symbol[:-1]
-        gap = order[1:] - order[:-1]
-        level = levels[np.where(same, gap, 1)]
-        row = level.astype(np.int64) * n
         flat = lowest.ravel()
-        least = np.minimum(flat[row + np.where(same, order[:-1] + 1, 0)], flat[row + np.where(same, order[1:] + 1 - (1 << level.astype(np.int64)), 0)])
+        left += level * kind(n)
+        least = flat.take(left)
+        left += gap
+        left -= sizes.take(level)
         new_common = np.zeros(len(order), narrow)
-        new_common[1:] = np.where(same, least + 1, 0)
-        at = np.concatenate([ends, at[order] - 1])
+        np.add(np.minimum(least, flat.take(left), out=least), narrow(1), out=new_common[1:])
+        new_common[fresh] = 0
+        at = np.concatenate([ends, at.take(order) - np.int32(1)])
         common = np.concatenate([no_common, new_common])
-        symbol = text[at]
-    doc = np.searchsorted(edges, at, side="right") - 1
+        symbol = text.take(at)
+    doc = np.repeat(np.arange(m), size + 1).take(at)
     return doc, ends[doc] - at, common, symbol
 
 
