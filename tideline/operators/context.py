@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import literal
-from ..schema import Catalog
+from ..schema import Catalog, Link
 from .aggregates import ANCHOR
 
 #: A context row: its place, the row and what it holds.
@@ -61,14 +61,17 @@ def nodes(catalog: Catalog, table: str) -> DataFrame:
     keys = keys[:MOST_PARENTS]
     there = lambda xs: F.map_from_entries(F.filter(F.array(*xs), lambda x: x["value"].isNotNull())) if xs else none
     time = F.col(spec.time).cast("timestamp_ntz") if spec.time else F.lit(None).cast("timestamp_ntz")
-    made = catalog.frame(table).select(F.lit(table).alias("tbl"), row_id(catalog, table).alias("row_id"), time.alias("ts"), there(pairs).alias("cells"), there(keys).alias("parents"))
-    return made.withColumn("n_cells", F.size("cells").cast("long"))
+    # counted from the columns: who reads no cells makes no maps
+    n_cells = sum((x["value"].isNotNull().cast("long") for x in pairs), F.lit(0).cast("long"))
+    return catalog.frame(table).select(
+        F.lit(table).alias("tbl"), row_id(catalog, table).alias("row_id"), time.alias("ts"), there(pairs).alias("cells"), there(keys).alias("parents"), n_cells.alias("n_cells"),
+    )
 
 
-def edges(catalog: Catalog) -> DataFrame:
-    """(child, child_id, child_ts, parent, parent_id) over all links."""
+def edges(catalog: Catalog, links: list[Link] | None = None) -> DataFrame:
+    """(child, child_id, child_ts, parent, parent_id, link) over all links, or those given."""
     parts = []
-    for link in catalog.schema.links:
+    for link in catalog.schema.links if links is None else links:
         spec = catalog.schema.tables[link.child]
         time = F.col(spec.time).cast("timestamp_ntz") if spec.time else F.lit(None).cast("timestamp_ntz")
         parts.append(
@@ -97,40 +100,69 @@ def seeds(cohort: DataFrame, entity: str, pk: str, anchor: datetime | None) -> D
     return cohort.select(F.col(pk).cast("string").alias("entity_id"), at.cast("timestamp_ntz").alias("anchor_ts"), F.lit(entity).alias("tbl"), F.col(pk).cast("string").alias("row_id"))
 
 
-def stored_rows(catalog: Catalog, found: DataFrame) -> DataFrame:
-    """``found`` (entity_id, anchor_ts, tbl, row_id, ...) with what the rows hold. A table without a declared key may hold equal rows
-    under one name; they are interchangeable, and one is taken for each context, so no table is deduplicated as a whole."""
-    rows = found.join(reduce(DataFrame.unionByName, [nodes(catalog, t) for t in catalog.schema.tables]), ["tbl", "row_id"])
-    same = Window.partitionBy("entity_id", "anchor_ts", "tbl", "row_id").orderBy("ts")
-    return rows.withColumn("__same", F.row_number().over(same)).where("__same = 1").drop("__same")
+def reached(catalog: Catalog, entity: str, hops: int) -> list[set[str]]:
+    """The tables in which rows can be at 0, 1, ... ``hops`` steps from an entity."""
+    out = [{entity}]
+    for _ in range(hops):
+        at = out[-1]
+        out.append({x.parent for x in catalog.schema.links if x.child in at} | {x.child for x in catalog.schema.links if x.parent in at})
+    return out
 
 
-def newest_children(catalog: Catalog, anchor: datetime | None, width: int) -> DataFrame:
+def stored(catalog: Catalog, tables: set[str], entity: str, anchor: datetime | None) -> DataFrame:
+    """Nodes of ``tables`` that a context may hold: those of one anchor are as of it, but for the entity's own table, whose seeds stay."""
+
+    def of(table: str) -> DataFrame:
+        made = nodes(catalog, table)
+        return made if anchor is None or table == entity else made.where(F.col("ts").isNull() | (F.col("ts") <= literal(anchor)))
+
+    return reduce(DataFrame.unionByName, [of(t) for t in catalog.schema.tables if t in tables])
+
+
+def newest_children(catalog: Catalog, anchor: datetime | None, width: int, links: list[Link] | None = None) -> DataFrame:
     """Edges from each row to its newest children as of the one anchor, ``width`` + 1 of each link at most, with their place."""
-    links = edges(catalog)
+    found = edges(catalog, links)
     if anchor is not None:
-        links = links.where(F.col("child_ts").isNull() | (F.col("child_ts") <= literal(anchor)))
+        found = found.where(F.col("child_ts").isNull() | (F.col("child_ts") <= literal(anchor)))
     newest = Window.partitionBy("parent", "parent_id", "link").orderBy(F.col("child_ts").desc_nulls_last(), "child_id")
-    return links.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= width + 1)
+    return found.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= width + 1)
+
+
+def moves(catalog: Catalog, tables: set[str], anchor: datetime | None, shared: bool, width: int, last: bool) -> DataFrame | None:
+    """(tbl, row_id, to, to_id, to_ts, link, __n) from rows of ``tables`` to parents (link null) and children (cut to the fan-out if
+    all have one anchor). Parents have to be there and have their time, but after the ``last`` step, where rows are looked up anyway."""
+    above = [x for x in catalog.schema.links if x.child in tables]
+    below = [x for x in catalog.schema.links if x.parent in tables]
+    parts = []
+    if above:
+        up = edges(catalog, above).select(F.col("child").alias("tbl"), F.col("child_id").alias("row_id"), F.col("parent").alias("to"), F.col("parent_id").alias("to_id"))
+        if last:
+            up = up.withColumn("to_ts", F.lit(None).cast("timestamp_ntz"))
+        else:
+            there = [nodes(catalog, t).select(F.col("tbl").alias("to"), F.col("row_id").alias("to_id"), F.col("ts").alias("to_ts")) for t in sorted({x.parent for x in above})]
+            up = up.join(reduce(DataFrame.union, there), ["to", "to_id"])
+        parts.append(up.select("tbl", "row_id", "to", "to_id", "to_ts", F.lit(None).cast("string").alias("link"), F.lit(0).alias("__n")))
+    if below:
+        down = newest_children(catalog, anchor, width, below) if shared else edges(catalog, below).withColumn("__n", F.lit(0))
+        parts.append(down.select(F.col("parent").alias("tbl"), F.col("parent_id").alias("row_id"), F.col("child").alias("to"), F.col("child_id").alias("to_id"), F.col("child_ts").alias("to_ts"), "link", "__n"))
+    return reduce(DataFrame.union, parts) if parts else None
 
 
 def assemble(cohort: DataFrame, catalog: Catalog, entity: str, anchor: datetime | None, policy: Policy = Policy(), peers: DataFrame | None = None) -> DataFrame:
-    """The contexts of ``cohort``: COLUMNS and ``truncated``, how often a fan-out cut children off at that row.
+    """The contexts of ``cohort``: COLUMNS and ``truncated``, how often a fan-out cut children off in that context.
 
-    With one anchor for all, children are cut to the fan-out before any entity meets them, so a row with very many children costs
-    no more than one with a few. With an anchor each, children are cut for each anchor. Kept within max_context_cells by (hop,
-    newest, table, row); the entity's own row always stays. ``peers``: (entity_id, peer_id) that join at hop 1 beside or instead
-    of the first ``cohort_size`` by key.
+    A hop reads the links and tables that it can reach from the entity, no others. With one anchor for all, children are cut to the
+    fan-out before any entity meets them, so a row with very many children costs no more than one with a few. With an anchor each,
+    children are cut for each anchor. Kept within max_context_cells by (hop, newest, table, row); the entity's own row always stays.
+    ``peers``: (entity_id, peer_id) that join at hop 1 beside or instead of the first ``cohort_size`` by key.
+
+    Rows on their way have one ``mark``: 1 if focal. A child that was cut off leaves a row of no table (tbl ''), named by the entity so
+    that such rows spread, whose mark counts. One column for both keeps a frontier's shuffle the same for all who read it.
     """
     pk = catalog.schema.tables[entity].pk
     shared = ANCHOR not in cohort.columns or anchor is not None
-    all_edges = edges(catalog)
-    cut_edges = newest_children(catalog, anchor, policy.bfs_width) if shared else all_edges
-    # rows are found by name alone at first; what they hold is joined once, at the end. Only parents have to be looked at before.
-    above = {x.parent for x in catalog.schema.links}
-    times = reduce(DataFrame.union, [nodes(catalog, t).select("tbl", "row_id", "ts") for t in catalog.schema.tables if t in above]) if above else None
     own = seeds(cohort, entity, pk, anchor)
-    found = own.withColumns({"hop": F.lit(0), "is_focal": F.lit(True), "truncated": F.lit(0)})
+    found = own.withColumns({"hop": F.lit(0), "mark": F.lit(1).cast("long"), "step": F.lit(0)})
     others = None
     if policy.cohort_size:
         some = catalog.frame(entity).select(F.col(pk).cast("string").alias("row_id")).orderBy("row_id").limit(policy.cohort_size + 1)
@@ -142,33 +174,43 @@ def assemble(cohort: DataFrame, catalog: Catalog, entity: str, anchor: datetime
         near = own.drop("row_id").join(peers.select(F.col("entity_id").cast("string").alias("entity_id"), F.col("peer_id").cast("string").alias("row_id")), "entity_id")
         others = near if others is None else others.unionByName(near)
     if others is not None:
-        found = found.unionByName(others.distinct().withColumns({"hop": F.lit(1), "is_focal": F.lit(False), "truncated": F.lit(0)}))
-    frontier = found
+        found = found.unionByName(others.distinct().withColumns({"hop": F.lit(1), "mark": F.lit(0).cast("long"), "step": F.lit(0)}))
     known = ["entity_id", "anchor_ts", "tbl", "row_id"]
-    for hop in range(1, policy.max_hops + 1 if above else 1):
-        at = frontier.select(*known, "is_focal")
-        up = at.join(all_edges, (at["tbl"] == all_edges["child"]) & (at["row_id"] == all_edges["child_id"]))
-        up = up.select("entity_id", "anchor_ts", F.col("parent").alias("tbl"), F.col("parent_id").alias("row_id"), "is_focal")
-        up = up.join(times, ["tbl", "row_id"]).where(F.col("ts").isNull() | F.col("anchor_ts").isNull() | (F.col("ts") <= F.col("anchor_ts"))).drop("ts")
-        down = at.join(cut_edges, (at["tbl"] == cut_edges["parent"]) & (at["row_id"] == cut_edges["parent_id"]))
+    frontier = found.select(*known, "mark")
+    tables = reached(catalog, entity, policy.max_hops)
+    for hop in range(1, policy.max_hops + 1):
+        last = hop == policy.max_hops
+        ways = moves(catalog, tables[hop - 1], anchor, shared, policy.bfs_width, last)
+        if ways is None:
+            break
+        went = frontier.join(ways, ["tbl", "row_id"]).where(F.col("to_ts").isNull() | F.col("anchor_ts").isNull() | (F.col("to_ts") <= F.col("anchor_ts")))
         if not shared:
-            down = down.where(F.col("child_ts").isNull() | F.col("anchor_ts").isNull() | (F.col("child_ts") <= F.col("anchor_ts")))
-            newest = Window.partitionBy("entity_id", "anchor_ts", "tbl", "row_id", "link").orderBy(F.col("child_ts").desc_nulls_last(), "child_id")
-            down = down.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= policy.bfs_width + 1)
-        down = down.select("entity_id", "anchor_ts", F.col("child").alias("tbl"), F.col("child_id").alias("row_id"), "is_focal", (F.col("__n") > policy.bfs_width).alias("over"))
-        step = up.unionByName(down.where("NOT over").drop("over"))
-        cut = down.where("over").groupBy("entity_id", "anchor_ts").agg(F.count("*").cast("int").alias("cut"))
-        fresh = step.join(found.select(*known), known, "left_anti").groupBy(*known).agg(F.max("is_focal").alias("is_focal"))
-        frontier = fresh.withColumns({"truncated": F.lit(0), "hop": F.lit(hop)})
-        found = found.unionByName(frontier).unionByName(
-            cut.select("entity_id", "anchor_ts", F.lit(None).cast("string").alias("tbl"), F.lit(None).cast("string").alias("row_id"), F.lit(hop).alias("hop"), F.lit(False).alias("is_focal"), F.col("cut").alias("truncated"))
-        )
-    events = found.where(F.col("tbl").isNull()).groupBy(F.col("entity_id").alias("__e"), F.col("anchor_ts").alias("__a")).agg(F.sum("truncated").alias("truncated"))
-    rows = stored_rows(catalog, found.where(F.col("tbl").isNotNull()).drop("truncated"))
-    rows = rows.join(events, (F.col("entity_id") == F.col("__e")) & F.col("anchor_ts").eqNullSafe(F.col("__a")), "left").drop("__e", "__a")
+            newest = Window.partitionBy("entity_id", "anchor_ts", "tbl", "row_id", "link").orderBy(F.col("to_ts").desc_nulls_last(), "to_id")
+            went = went.withColumn("__n", F.when(F.col("link").isNotNull(), F.row_number().over(newest)).otherwise(0)).where(F.col("__n") <= policy.bfs_width + 1)
+        over = F.col("__n") > policy.bfs_width
+        went = went.select(
+            "entity_id", "anchor_ts", F.when(over, F.lit("")).otherwise(F.col("to")).alias("tbl"), F.when(over, F.col("entity_id")).otherwise(F.col("to_id")).alias("row_id"),
+            F.when(over, F.lit(1)).otherwise(F.col("mark")).alias("mark"),
+        )
+        if last:  # what was known before, and rows reached twice, go where the rows are looked up
+            frontier = went
+        else:
+            before = found.where("tbl <> ''").select(*(F.col(c).alias(f"__{c}") for c in known))
+            fresh = went.join(before, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in known]), "left_anti")
+            fresh = fresh.groupBy(*known).agg(F.max("mark").alias("__max"), F.sum("mark").alias("__sum"))
+            frontier = fresh.select(*known, F.when(F.col("tbl") == "", F.col("__sum")).otherwise(F.col("__max")).alias("mark")).where("row_id IS NOT NULL")
+        found = found.unionByName(frontier.withColumns({"hop": F.lit(hop), "step": F.lit(hop)}))
+    rows = found.join(stored(catalog, set().union(*tables), entity, anchor), ["tbl", "row_id"], "left")
+    in_time = F.col("n_cells").isNotNull() & ((F.col("step") == 0) | F.col("ts").isNull() | F.col("anchor_ts").isNull() | (F.col("ts") <= F.col("anchor_ts")))
+    # all windows from here on, and those of what reads a context, are within an entity
+    rows = rows.where((F.col("tbl") == "") | in_time).repartition("entity_id")
+    same = Window.partitionBy("entity_id", "anchor_ts", "tbl", "row_id").orderBy("step", "hop", F.desc("mark"), "ts")
+    cut = F.sum(F.when(F.col("tbl") == "", F.col("mark")).otherwise(0)).over(Window.partitionBy("entity_id", "anchor_ts"))
+    # a table without a declared key may hold equal rows under one name; they are interchangeable, and one is taken
+    rows = rows.withColumn("__same", F.row_number().over(same)).withColumn("truncated", cut).where("__same = 1 AND tbl <> ''").withColumn("is_focal", F.col("mark") == 1)
     order = Window.partitionBy("entity_id", "anchor_ts").orderBy("hop", F.col("ts").desc_nulls_last(), "tbl", "row_id")
     rows = rows.withColumn("__sum", F.sum("n_cells").over(order)).where((F.col("hop") == 0) | (F.col("__sum") <= policy.max_context_cells))
-    return rows.select(*COLUMNS, F.coalesce("truncated", F.lit(0)).alias("truncated"))
+    return rows.select(*COLUMNS, "truncated")
 
 
 def report(context: DataFrame) -> DataFrame:
