@@ -96,26 +96,37 @@ def assume_count(context: DataFrame, catalog: Catalog, entity: str, n: int, agg:
     usable = F.lit(True) if agg.column == "*" else F.map_contains_key("cells", F.lit(agg.column))
     inside = mine & usable & all_of(bounds(agg.frame, F.col("ts"), anchor))
     keys = ["entity_id", "anchor_ts"]
-    counted = context.groupBy(*keys).agg(
-        F.count(F.when(inside, 1)).alias("c"),
-        *(F.max_by(F.when(w & usable, F.struct("cells", "parents", "hop", "row_id")), F.when(w & usable, F.struct(F.coalesce("ts", literal(datetime(1, 1, 1))).alias("t"), "row_id"))).alias(x)
-          for x, w in (("__in", inside), ("__own", mine), ("__any", F.col("tbl") == table))),
-    )
-    target = {">=": F.greatest("c", F.lit(bound)), ">": F.greatest("c", F.lit(bound + 1)), "=": F.lit(bound), "<=": F.least("c", F.lit(bound)), "<": F.least("c", F.lit(bound - 1))}[op]
-    counted = counted.withColumn("want", target.cast("long"))
+    most_rows = {"=": bound, "<=": bound, "<": bound - 1}.get(op)
+    if most_rows is not None:
+        order = Window.partitionBy(*keys, "__inside").orderBy(F.col("ts").desc_nulls_last(), "row_id")
+        ranked = context.withColumn("__inside", F.coalesce(inside, F.lit(False))).withColumn("__n", F.row_number().over(order))
+        context = ranked.where(~F.col("__inside") | (F.col("__n") <= most_rows)).select(*context.columns)
+    want = {">=": bound, ">": bound + 1, "=": bound}.get(op, 0)
+    if not want:
+        return context
+    # what is copied is found by windows within an entity, as contexts are partitioned, and copies leave from the entity's first row
+    each = Window.partitionBy(*keys)
+    newest = F.struct(F.coalesce("ts", literal(datetime(1, 1, 1))).alias("t"), "row_id")
+    found = {
+        x: F.max_by(F.when(w & usable, F.struct("cells", "parents", "hop", "row_id")), F.when(w & usable, newest)).over(each)
+        for x, w in (("__in", inside), ("__own", mine), ("__any", F.col("tbl") == table))
+    }
+    counted = context.withColumns({"__c": F.count(F.when(inside, 1)).over(each), **found, "__first": F.row_number().over(each.orderBy("hop", "tbl", "row_id")) == 1})
     from .context import nodes
 
     stored = nodes(catalog, table).where(usable & (F.col("ts").isNull() | (F.col("ts") <= literal(anchor))))
-    pick = stored.agg(F.max_by(F.struct("cells", "parents", F.lit(1).alias("hop"), "row_id"), F.struct(F.coalesce("ts", literal(datetime(1, 1, 1))).alias("t"), "row_id")).alias("__db"))
+    pick = stored.agg(F.max_by(F.struct("cells", "parents", F.lit(1).alias("hop"), "row_id"), newest).alias("__db"))
     counted = counted.join(F.broadcast(pick))  # one row
-    counted = counted.withColumn("__from", F.coalesce("__in", "__own", "__any", "__db"))
+    short = F.col("__first") & (F.col("__c") < want)
+    counted = counted.withColumn("__from", F.when(short, F.coalesce("__in", "__own", "__any", "__db")))
     high = anchor if agg.frame.end in (float("inf"),) else anchor + timedelta(seconds=agg.frame.end)
     most = float("inf") if agg.frame.start == float("-inf") else (high - anchor).total_seconds() - agg.frame.start
-    short = counted.where("want > c")
-    failed = F.col("__from").isNull() | (F.col("want") - F.col("c") >= F.lit(most))
+    failed = F.col("__from").isNull() | (want - F.col("__c") >= F.lit(most))
     message = F.lit(f"no row of {table} to copy, or the frame is too narrow for the assumed count")
-    clones = short.withColumn("i", F.explode(F.when(failed, F.raise_error(message).cast("array<int>")).otherwise(F.sequence(F.lit(1), (F.col("want") - F.col("c")).cast("int")))))
-    ts = literal(high) - F.make_dt_interval(secs=F.col("i").cast("double"))
+    places = F.when(short, F.when(failed, F.raise_error(message).cast("array<int>")).otherwise(F.sequence(F.lit(1), (want - F.col("__c")).cast("int"))))
+    # place 0 is the row itself
+    made = counted.withColumn("__i", F.explode(F.concat(F.array(F.lit(0)), F.coalesce(places, F.array().cast("array<int>")))))
+    ts = literal(high) - F.make_dt_interval(secs=F.col("__i").cast("double"))
     cells = F.col("__from.cells")
     if time:
         cells = F.transform_values(cells, lambda k, v: F.when(k == time, ts.cast("string")).otherwise(v))
@@ -123,16 +134,11 @@ def assume_count(context: DataFrame, catalog: Catalog, entity: str, n: int, agg:
     if link:
         own = F.create_map(F.lit(link.fk), F.col("entity_id"))
         parents = F.map_concat(F.map_filter(parents, lambda k, _: k != link.fk), own)
-    made = clones.select(
-        *keys, F.lit(table).alias("tbl"), F.concat(F.lit(f"assumed:{table}:{n}:"), F.col("i")).alias("row_id"), F.col("__from.hop").alias("hop"), ts.alias("ts"),
-        F.lit(True).alias("is_focal"), cells.alias("cells"), parents.alias("parents"), F.size(cells).cast("long").alias("n_cells"), F.lit(0).cast("long").alias("truncated"),
-    )
-    order = Window.partitionBy(*keys, "__inside").orderBy(F.col("ts").desc_nulls_last(), "row_id")
-    ranked = context.withColumn("__inside", inside).withColumn("__n", F.row_number().over(order))
-    few = counted.select(F.col("entity_id").alias("__e"), F.col("anchor_ts").alias("__a"), "want")
-    kept = ranked.join(few, (F.col("entity_id") == F.col("__e")) & F.col("anchor_ts").eqNullSafe(F.col("__a")))
-    kept = kept.where(~F.coalesce("__inside", F.lit(False)) | (F.col("__n") <= F.col("want"))).select(*context.columns)
-    return kept.unionByName(made.select(*context.columns))
+    copy = {
+        "tbl": F.lit(table), "row_id": F.concat(F.lit(f"assumed:{table}:{n}:"), F.col("__i")), "hop": F.col("__from.hop"), "ts": ts, "is_focal": F.lit(True),
+        "cells": cells, "parents": parents, "n_cells": F.size(cells).cast("long"), "truncated": F.lit(0).cast("long"),
+    }
+    return made.select(*(F.when(F.col("__i") == 0, F.col(c)).otherwise(copy[c]).alias(c) if c in copy else F.col(c) for c in context.columns))
 
 
 def rewritten(context: DataFrame, catalog: Catalog, s: A.Statement, anchor: datetime | None) -> DataFrame:
