@@ -43,20 +43,27 @@ def tokens(context: DataFrame, catalog: Catalog, s: A.Statement, labels: DataFra
     kinds = [(t, c, CODES[k]) for t, spec in catalog.schema.tables.items() for c, k in spec.columns.items()]
     types = context.sparkSession.createDataFrame(kinds, "tbl string, col string, code int")
     hidden = {c.name for c in A.columns(s.target)} if s.target is not None else set()
-    cells = context.select("entity_id", "hop", "ts", "tbl", "row_id", F.explode("cells").alias("col", "text"))
+    # the target's token leaves from the entity's first row, so that contexts are made once; their windows are within an entity already
+    first = F.row_number().over(Window.partitionBy("entity_id").orderBy("hop", "tbl", "row_id")) == 1
+    entry = lambda order, col, text: F.struct(F.lit(order).alias("order"), col.alias("col"), text.alias("text"))
+    none = F.lit(None).cast("string")
+    held = F.transform(F.map_entries("cells"), lambda x: entry(2, x["key"], x["value"]))
+    made = context.withColumn("__first", first).select(
+        "entity_id", "hop", "ts", "tbl", "row_id", F.explode(F.concat(F.when(F.col("__first"), F.array(entry(0, F.lit(""), none))).otherwise(F.array()), held)).alias("x"),
+    )
+    made = made.select("entity_id", "hop", "ts", "tbl", "row_id", F.col("x.order").alias("__order"), F.col("x.col").alias("col"), F.col("x.text").alias("text"))
+    target = F.col("__order") == 0
     own = (F.col("tbl") == s.table) & (F.col("row_id") == F.col("entity_id")) & F.col("col").isin(*hidden) if hidden else F.lit(False)
-    cells = cells.where(~own).join(F.broadcast(types), ["tbl", "col"], "left").withColumn("code", F.coalesce("code", F.lit(CODES[TEXT])))
+    made = made.where(target | ~own)
+    at = {"hop": F.lit(0), "ts": F.lit(None).cast("timestamp_ntz"), "row_id": F.lit(""), "tbl": F.lit(s.table)}
+    made = made.withColumns({c: F.when(target, x).otherwise(F.col(c)) for c, x in at.items()}).join(F.broadcast(types), ["tbl", "col"], "left")
+    made = made.withColumn("code", F.when(target, F.lit(CODES[NUMBER])).otherwise(F.coalesce("code", F.lit(CODES[TEXT]))))
     number = (
         F.when(F.col("code") == CODES[NUMBER], F.expr("try_cast(text AS double)"))
         .when(F.col("code") == CODES[BOOLEAN], F.expr("try_cast(text AS boolean)").cast("double"))
         .when(F.col("code") == CODES[DATETIME], F.unix_micros(F.expr("try_cast(text AS timestamp)")) / 1e6)
     )
-    cells = cells.withColumn("number", number).withColumn("kind", F.lit("cell")).withColumn("__order", F.lit(2))
-    target = context.select("entity_id").distinct().select(
-        "entity_id", F.lit(0).alias("hop"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit("").alias("row_id"), F.lit(s.table).alias("tbl"), F.lit("").alias("col"),
-        F.lit(None).cast("string").alias("text"), F.lit(CODES[NUMBER]).alias("code"), F.lit(None).cast("double").alias("number"), F.lit("target").alias("kind"), F.lit(0).alias("__order"),
-    )
-    rows = cells.unionByName(target)
+    rows = made.withColumn("number", number).withColumn("kind", F.when(target, F.lit("target")).otherwise(F.lit("cell")))
     if labels is not None:
         past = labels.select(
             F.col("entity_id").cast("string").alias("entity_id"), F.col("k").alias("hop"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit("").alias("row_id"), F.lit(s.table).alias("tbl"),
