@@ -1,6 +1,7 @@
 """Contexts: the bounded, time-safe neighbourhood of each entity over the links, hop by hop.
 
-All links are seen as one table of edges, so a hop is two joins whatever the schema; what rows hold is looked up at the end.
+The links that a hop can reach are seen as one table of edges, so a hop is one join whatever the schema; what rows hold is looked up at
+the end.
 Parents of a row are always followed; children newest first, up to the policy's fan-out. Every row is checked against the
 entity's anchor at every hop. Rows without a key are named by a hash of all their columns: equal rows are interchangeable.
 """
